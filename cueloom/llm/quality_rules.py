@@ -142,5 +142,6 @@ def score_rules(docs: DataFrame, weights: np.ndarray, p: RuleParams, doc_id: str
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     """Scores ``docs(doc_id, text)``; documents with a label ``quality = 1`` are the trusted target."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    # labels grow with the corpus: one plan at every size, not a broadcast while they are few
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
     return score_rules(docs, fit_weights(gram_counts(marked, "text", "trusted", p), p), p)
