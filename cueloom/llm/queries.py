@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import find_contamination
 from .language_id import identify_language
+from .line_dedup import line_components
+from .near_duplicates import near_duplicates
 from .packing import pack_documents
 from .quality_classifier import classify_quality
 from .quality_rules import apply_quality_rules
@@ -20,6 +22,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 2-word shingles are similar at 0.8 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, with the line that its component keeps."""
+    return line_components(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op5_quality_classifier, op6_quality_rules, op7_language_id, op9_packing, op10_decontamination)
+    f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op4_line_dedup, op5_quality_classifier, op6_quality_rules, op7_language_id, op9_packing, op10_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {}
 
