@@ -129,17 +129,42 @@ def _merge_ranges(spans):
     return joined
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_chars: int = 20_000_000) -> DataFrame:
-    """(doc_id, n_words, spans, item_ids, n_hit) of ``docs(doc_id, text)`` against ``benchmark(item_id, text)``."""
+def _shards(benchmark: DataFrame, window: int, max_chars: int):
+    """Number of automata, kind of the item ids, and a function that collects the items of one."""
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    item_kind = "string" if kind == "string" else "bigint"
+    kind = "string" if benchmark.schema["item_id"].dataType.simpleString() == "string" else "bigint"
     # a text of n words has n windows of `window` words at most
     chars = items.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
     shards = max(1, -(-chars * window // max_chars))
+    of = lambda k: [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).select("item_id", F.col("text").cast("binary")).collect()]
+    return shards, kind, of
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_chars: int = 20_000_000) -> DataFrame:
+    """The rows of ``docs`` that no window hits, with all their columns."""
+    shards, _, of = _shards(benchmark, window, max_chars)
+    column = docs.columns.index("text")
+
+    def without(items):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = build_automaton(shared.value, window)
+            for rows, texts in slices(batches, column):
+                yield rows.filter(pa.array([not scan(auto, normalised_words(t))[0] for t in texts], pa.bool_()))
+
+        return run
+
+    for k in range(shards):
+        docs = docs.mapInArrow(without(of(k)), docs.schema)
+    return docs
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_chars: int = 20_000_000) -> DataFrame:
+    """(doc_id, n_words, spans, item_ids, n_hit) of ``docs(doc_id, text)`` against ``benchmark(item_id, text)``."""
+    shards, item_kind, of = _shards(benchmark, window, max_chars)
     plain = docs.select("doc_id", "text")
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    of = lambda k: [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).select("item_id", F.col("text").cast("binary")).collect()]
     if shards == 1:
         found = _scan_documents(plain, of(0), window, id_kind, item_kind)
     else:

@@ -90,3 +90,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     out = sets.select("doc_id", "n", "set_hash").join(labels, "set_hash", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, with all their columns."""
+    kept = near_duplicates(docs, shingle_words, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

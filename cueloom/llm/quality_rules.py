@@ -121,17 +121,22 @@ def fit_weights(counts: DataFrame, p: RuleParams) -> np.ndarray:
     return (logs[1] - logs[0]).astype(np.float32)
 
 
+def _judge(texts: list[bytes | None], w: np.ndarray, p: RuleParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base features, ratio, base_failed and kept of some texts."""
+    feats = np.array([base_features(t or b"", p) for t in texts], dtype=np.int64)
+    llr = np.array([float(w[bucket_ids(t, p)].mean(dtype=np.float64)) if t else 0.0 for t in texts])
+    bad = (feats[:, 0] < p.min_words) | (100 * feats[:, 4] > p.max_repeat_percent * feats[:, 0])
+    return feats, llr, bad, ~bad & (llr >= p.threshold)
+
+
 def score_rules(docs: DataFrame, weights: np.ndarray, p: RuleParams, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the base features, the ratio, and the verdict."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bucket_bits floats
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for rows, texts in slices(batches):
-            feats = np.array([base_features(t or b"", p) for t in texts], dtype=np.int64)
-            llr = np.array([float(w[bucket_ids(t, p)].mean(dtype=np.float64)) if t else 0.0 for t in texts])
-            bad = (feats[:, 0] < p.min_words) | (100 * feats[:, 4] > p.max_repeat_percent * feats[:, 0])
-            cols = [rows.column(0), *(pa.array(feats[:, i]) for i in range(5)), pa.array(llr), pa.array(bad), pa.array(~bad & (llr >= p.threshold))]
+            feats, llr, bad, kept = _judge(texts, shared.value, p)
+            cols = [rows.column(0), *(pa.array(feats[:, i]) for i in range(5)), pa.array(llr), pa.array(bad), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -139,9 +144,26 @@ def score_rules(docs: DataFrame, weights: np.ndarray, p: RuleParams, doc_id: str
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, schema)
 
 
-def apply_quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
-    """Scores ``docs(doc_id, text)``; documents with a label ``quality = 1`` are the trusted target."""
+def fit_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> np.ndarray:
+    """Weights from all ``docs(doc_id, text)``; those with a label ``quality = 1`` are the trusted target."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     # labels grow with the corpus: one plan at every size, not a broadcast while they are few
     marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
-    return score_rules(docs, fit_weights(gram_counts(marked, "text", "trusted", p), p), p)
+    return fit_weights(gram_counts(marked, "text", "trusted", p), p)
+
+
+def apply_quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
+    """The base features, ratio and verdict of every row."""
+    return score_rules(docs, fit_rules(docs, labels, p), p)
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_rules(docs, labels, p))
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches, column):
+            yield rows.filter(pa.array(_judge(texts, shared.value, p)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
