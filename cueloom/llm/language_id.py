@@ -19,6 +19,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +28,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices
+from .common import fold, mix64, slices
 
 _RUN = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -77,16 +78,66 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
     return by
 
 
-def _lattice(words: list[str], pieces: dict[str, int], p: LanguageParams) -> tuple[int, dict[tuple[int, int], np.ndarray]]:
-    """For marked words of one length: the piece that each (start, length) spells in each word."""
-    marked = [_MARK + w for w in words]
-    n = len(marked[0])
-    get = pieces.get
+class Pieces:
+    """The vocabulary as an open-addressing table of rolling hashes, looked up for whole arrays."""
+
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        self.size = len(pieces) + 2
+        bits = 2 + max(8, len(pieces).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.ids = np.zeros((1 << bits) + 64, dtype=np.uint64), np.zeros((1 << bits) + 64, dtype=np.int32)
+        self.probes = 1
+        by = _by_length(list(pieces))
+        for n, at in by.items():
+            names = [s for s in pieces if len(s) == n]
+            codes = np.array(names, dtype=f"U{n}").view(np.uint32).reshape(len(at), n).T.astype(np.uint64)
+            h = np.zeros(len(at), dtype=np.uint64)
+            for row in codes:
+                h = self.step(h, row)
+            for s, x in zip(names, mix64(h), strict=True):
+                slot = int(x >> self.shift)
+                probe = 0
+                while self.keys[slot + probe]:
+                    probe += 1
+                self.keys[slot + probe], self.ids[slot + probe] = x, pieces[s]
+                self.probes = max(self.probes, probe + 1)
+
+    def step(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return (h + code + np.uint64(1)) * self._BASE
+
+    def look_up(self, rolled: np.ndarray, missing: int) -> np.ndarray:
+        h = mix64(rolled)
+        at = (h >> self.shift).astype(np.int64)
+        out = np.full(h.shape, missing, dtype=np.int32)
+        for probe in range(self.probes):
+            hit = self.keys[at + probe] == h
+            out[hit] = self.ids[at[hit] + probe]
+        return out
+
+
+@lru_cache(maxsize=2)
+def vocabulary_table(vocabulary: str, p: LanguageParams) -> Pieces:
+    """Built once a Python worker."""
+    return Pieces(pieces_of(vocabulary, p))
+
+
+def _lattice(words: list[str], pieces: Pieces, p: LanguageParams) -> tuple[int, dict[tuple[int, int], np.ndarray]]:
+    """For marked words of one length: the piece that each (start, length) spells in each word.
+
+    Cells that no word has a piece for are left out.
+    """
+    n = len(words[0]) + 1
+    codes = np.array([_MARK + w for w in words], dtype=f"U{n}").view(np.uint32).reshape(len(words), n).T.astype(np.uint64)
     cells = {}
-    for i in range(n):
-        for size in range(1, min(p.max_piece, n - i) + 1):
-            none = _UNKNOWN if size == 1 else _NONE
-            cells[i, size] = np.fromiter((get(w[i : i + size], none) for w in marked), dtype=np.int32, count=len(marked))
+    rolled = np.zeros((n, len(words)), dtype=np.uint64)
+    for size in range(1, min(p.max_piece, n) + 1):
+        rolled = pieces.step(rolled[: n - size + 1], codes[size - 1 :])
+        ids = pieces.look_up(rolled, _UNKNOWN if size == 1 else _NONE)
+        for i in range(n - size + 1):
+            if size == 1 or ids[i].any():
+                cells[i, size] = ids[i]
     return n, cells
 
 
@@ -96,16 +147,16 @@ def forward(n: int, cells: dict[tuple[int, int], np.ndarray], probs: np.ndarray)
     alpha = [np.ones((w, probs.shape[1]))]
     for end in range(1, n + 1):
         a = np.zeros((w, probs.shape[1]))
-        for i in range(max(0, end - 64), end):
+        for i in range(end):
             if (i, end - i) in cells:
                 a += alpha[i] * probs[cells[i, end - i]]
         alpha.append(a)
     return alpha
 
 
-def expected_counts(words: list[str], counts: np.ndarray, pieces: dict[str, int], p: LanguageParams) -> np.ndarray:
+def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, p: LanguageParams) -> np.ndarray:
     """Expected piece counts of weighted words, over all segmentations under equal piece weights."""
-    size = len(pieces) + 2
+    size = pieces.size
     flat = np.full((size, 1), 1.0 / size)
     flat[_NONE], flat[_UNKNOWN] = 0.0, p.unknown
     out = np.zeros(size)
@@ -117,7 +168,8 @@ def expected_counts(words: list[str], counts: np.ndarray, pieces: dict[str, int]
             beta = [np.zeros((len(own), 1)) for _ in range(n)] + [np.ones((len(own), 1))]
             for i in range(n - 1, -1, -1):
                 for m in range(1, min(p.max_piece, n - i) + 1):
-                    beta[i] += flat[cells[i, m]] * beta[i + m]
+                    if (i, m) in cells:
+                        beta[i] += flat[cells[i, m]] * beta[i + m]
             each = counts[own] / alpha[n][:, 0]
             for (i, m), ids in cells.items():
                 out += np.bincount(ids, weights=each * alpha[i][:, 0] * flat[ids, 0] * beta[i + m][:, 0], minlength=size)
@@ -128,8 +180,8 @@ def fit_languages(docs: DataFrame, vocabulary: str, p: LanguageParams, learn: Co
     """Learns from all rows that satisfy ``learn``; one row a language and piece reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(vocabulary, p)
-        total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(pieces) + 2))
+        pieces = vocabulary_table(vocabulary, p)
+        total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(pieces.size))
         held: dict[str, Counter] = defaultdict(Counter)
 
         def flush() -> None:
@@ -151,7 +203,7 @@ def fit_languages(docs: DataFrame, vocabulary: str, p: LanguageParams, learn: Co
     got = known.mapInArrow(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
     lang, piece, n = (got.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "piece", "n"))
     languages = sorted(set(lang))
-    size = len(pieces_of(vocabulary, p)) + 2
+    size = vocabulary_table(vocabulary, p).size
     c = np.zeros((size, len(languages)))
     c[piece, [languages.index(x) for x in lang]] = np.round(n, 6)
     c[[_NONE, _UNKNOWN]] = 0
@@ -160,7 +212,7 @@ def fit_languages(docs: DataFrame, vocabulary: str, p: LanguageParams, learn: Co
     return LanguageModel(languages, probs)
 
 
-def word_log_likelihoods(words: list[str], model: LanguageModel, pieces: dict[str, int], p: LanguageParams) -> np.ndarray:
+def word_log_likelihoods(words: list[str], model: LanguageModel, pieces: Pieces, p: LanguageParams) -> np.ndarray:
     out = np.empty((len(words), len(model.languages)))
     for at in _by_length(words).values():
         for k in range(0, len(at), 4096):
@@ -175,7 +227,7 @@ def score_languages(docs: DataFrame, model: LanguageModel, vocabulary: str, p: L
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, pieces = shared.value, pieces_of(vocabulary, p)
+        m, pieces = shared.value, vocabulary_table(vocabulary, p)
         at: dict[str, int] = {}
         logs = np.empty((0, len(m.languages)))
         for rows, texts in slices(batches):
