@@ -2,15 +2,17 @@
 
 Every two nodes that share a bucket are candidates, but they are never all listed:
 
-1. in each bucket the smallest node (the hub) is paired with every other;
-2. candidates whose sizes or signatures rule the similarity out are dropped, the rest
-   are confirmed on the full sets: first one partner a node, then, among pairs whose
-   ends are not yet connected, all;
-3. in buckets whose members still lie in several components, the pairs across
-   components that the signatures allow are confirmed too.
-
-A pair that is never confirmed shares a component already, so the components are those
-of all candidate pairs.
+1. in each bucket the smallest node (the hub) is paired with every other; pairs that
+   sizes and signatures allow make coarse components;
+2. in buckets whose members still lie in several coarse components, these are joined by
+   as few pairs as it takes, of those that sizes and signatures allow;
+3. within each coarse component, dealt over blocks of bounded size, all pairs are
+   compared by products of incidence matrices, and again only as many links are given
+   as it takes to connect what is linked on the full sets.
+
+Two linked nodes that share a bucket and are under the signature distance are in one
+coarse component, and there they are compared; so the final components are those of
+all candidate pairs.
 """
 
 from __future__ import annotations
@@ -200,82 +202,137 @@ def under_distance(pairs: DataFrame, sigs: DataFrame, spec: LinkSpec) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "sig_a", "n_b", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, spec: LinkSpec) -> DataFrame:
-    """The ``pairs(a, b)`` whose full sets are similar enough; ``texts(node, z)`` holds zlib data."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-
-        def of(node: int, z: bytes) -> np.ndarray:
-            if node not in kept:
-                if len(kept) >= 64:
-                    kept.pop(next(iter(kept)))
-                kept[node] = spec.shingles(zlib.decompress(z))
-            return kept[node]
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                a, b, za, zb = (batch.column(i).slice(at, 256).to_pylist() for i in range(4))
-                ok = []
-                for x, y, zx, zy in zip(a, b, za, zb, strict=True):
-                    s, t = of(x, zx), of(y, zy)
-                    both = len(np.intersect1d(s, t, assume_unique=True)) if len(s) and len(t) else 0
-                    ok.append(both > 0 and 100 * both >= spec.percent * (len(s) + len(t) - both))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok, strict=True) if k], pa.int64()), pa.array([y for y, k in zip(b, ok, strict=True) if k], pa.int64())], names=["a", "b"])
-
-    left = texts.select(F.col("node").alias("a"), F.col("z").alias("z_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("z").alias("z_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long")
-
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each key of sorted batches, the key being the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy() for i in range(keys)]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        at = 0
+        for end in [*cuts.tolist(), batch.num_rows]:
+            own = tuple(int(c[at]) for c in cols)
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last, at = own, end
+    if held:
+        yield pa.Table.from_batches(held)
 
-def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` whose ends lie in different components of ``comps(node, root)``."""
-    left = comps.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    right = comps.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    joined = pairs.join(left, "a", "left").join(right, "b", "left")
-    return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
+def bucket_links(found: DataFrame, comps: DataFrame, sigs: DataFrame, spec: LinkSpec) -> DataFrame:
+    """(a, b): links that sizes and signatures allow, between components that meet in a bucket.
 
-def cross_pairs(found: DataFrame, comps: DataFrame, sigs: DataFrame, spec: LinkSpec) -> DataFrame:
-    """Pairs of members that are not hubs, in one bucket but different components, that sizes and signatures allow."""
+    Of all such pairs of a bucket, only as many are given as it takes to connect it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.Table) -> pa.RecordBatch:
-            node, root, n = (rows.column(c).to_numpy() for c in ("node", "root", "n"))
+        for rows in _runs(batches, 1):
+            node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
+            label = rows.column("root").to_numpy().copy()
             sig = _sig_matrix(rows.column("sig").combine_chunks(), spec.symbols)
             a, b = [], []
             for k in range(len(node) - 1):
-                others = slice(k + 1, None)
-                maybe = np.flatnonzero((root[others] != root[k]) & _allowed(n[k], n[others], spec)) + k + 1
-                if len(maybe):
-                    near = maybe[(sig[maybe] != sig[k]).sum(axis=1) <= spec.max_distance]
-                    a += [int(node[k])] * len(near)
-                    b += node[near].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            if held and held[-1].column(0)[0].as_py() != key[0]:
-                yield pairs(pa.Table.from_batches(held))
-                held = []
-            at = 0
-            for end in ends[:-1]:
-                yield pairs(pa.Table.from_batches([*held, batch.slice(at, end - at)]))
-                held, at = [], end
-            held.append(batch.slice(at))
-        if held:
-            yield pairs(pa.Table.from_batches(held))
+                rest = np.flatnonzero((label[k + 1 :] != label[k]) & _allowed(n[k], n[k + 1 :], spec)) + k + 1
+                if not len(rest):
+                    continue
+                near = rest[(sig[rest] != sig[k]).sum(axis=1) <= spec.max_distance]
+                _, first = np.unique(label[near], return_index=True)
+                a += [int(node[k])] * len(first)
+                b += node[near[first]].tolist()
+                label[np.isin(label, label[near])] = label[k]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     placed = found.select("key", "node").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     rows = placed.join(split, "key").join(sigs, "node").select("key", "node", "root", "n", "sig")
     n = _partitions(found)
-    made = rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
-    return made.distinct()
+    return rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``."""
+    va, vb = np.unique(np.concatenate(a)), np.unique(np.concatenate(b))
+    vocab = np.intersect1d(va, vb, assume_unique=True)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(vocab, flat)
+        ok = at < len(vocab)
+        ok[ok] = vocab[at[ok]] == flat[ok]
+        return row[ok], at[ok]
+
+    if not len(vocab):
+        return out
+    (ra, ca), (rb, cb) = places(a), places(b)
+    for at in range(0, len(vocab), 4096):
+        size = min(4096, len(vocab) - at)
+        ma, mb = np.zeros((len(a), size), dtype=np.float32), np.zeros((len(b), size), dtype=np.float32)
+        ka, kb = (ca >= at) & (ca < at + size), (cb >= at) & (cb < at + size)
+        ma[ra[ka], ca[ka] - at] = 1
+        mb[rb[kb], cb[kb] - at] = 1
+        out += ma @ mb.T
+    return out
+
+
+def exact_links(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links within one block, or between two, just enough to connect what is linked."""
+    label = np.arange(len(node))
+    out: list[tuple[int, int]] = []
+    size = np.array([len(s) for s in sets])
+    blocks = np.unique(block)
+    sides = [np.flatnonzero(block == x) for x in blocks]
+    left, right = (sides[0], sides[0]) if len(sides) == 1 else (sides[0], sides[1])
+    for i in range(0, len(left), 512):
+        for j in range(i if len(sides) == 1 else 0, len(right), 512):
+            x, y = left[i : i + 512], right[j : j + 512]
+            if len(np.unique(label[np.append(x, y)])) == 1:
+                continue
+            both = _shared_counts([sets[k] for k in x], [sets[k] for k in y])
+            linked = (both > 0) & (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both))
+            for k, row in zip(x, linked, strict=True):
+                near = y[row]
+                near = near[label[near] != label[k]]
+                if len(near):
+                    _, first = np.unique(label[near], return_index=True)
+                    out += [(int(node[k]), int(v)) for v in node[near[first]]]
+                    label[np.isin(label, label[near])] = label[k]
+    return out
+
+
+#: Elements of sets, and texts, that a block of a component holds: at least and at most.
+BLOCK_LEAST, BLOCK_MOST, BLOCKS, TEXT_WEIGHT = 60_000, 4_000_000, 16, 200
+
+
+def confirmed_links(coarse: DataFrame, sigs: DataFrame, texts: DataFrame, spec: LinkSpec) -> DataFrame:
+    """(a, b): links on full sets that connect all linked nodes of each coarse component.
+
+    A component is dealt over blocks of bounded size, and every two blocks meet in a
+    group of their own, so no component has to fit in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 3):
+            sets = [spec.shingles(zlib.decompress(z)) for z in rows.column("z").to_pylist()]
+            got = exact_links(rows.column("node").to_numpy(), rows.column("block").to_numpy(), sets, spec.percent)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
+
+    sized = coarse.join(sigs.select("node", "n"), "node")
+    total = sized.groupBy("root").agg(F.sum(F.col("n") + TEXT_WEIGHT).alias("total"))
+    most = F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), F.col("total") / BLOCKS))
+    blocks = total.select("root", F.ceil(F.col("total") / most).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("root", "node", "block", "blocks")
+    met = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "z")
+    n = _partitions(coarse)
+    return rows.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
 def link_components(found: DataFrame, sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], spec: LinkSpec) -> DataFrame:
@@ -285,17 +342,9 @@ def link_components(found: DataFrame, sigs: DataFrame, texts_of: Callable[[DataF
     and signatures, and ``texts_of(nodes)`` returns ``(node, z)`` for ``nodes(node)``.
     """
     near = cut(under_distance(found.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sigs, spec))
-    ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-    texts = cut(texts_of(ends(near)))
-    links = cut(confirmed(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, spec))
-    comps = connected_components(links)
-    more = cut(confirmed(across(near, comps), texts, spec))
+    coarse = connected_components(near)
+    more = cut(bucket_links(found, coarse, sigs, spec))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        comps = connected_components(links)
-    rest = cut(cross_pairs(found, comps, sigs, spec))
-    if not rest.isEmpty():
-        more = cut(confirmed(rest, texts_of(ends(rest)), spec))
-        if not more.isEmpty():
-            comps = connected_components(links.unionByName(more))
-    return comps
+        coarse = connected_components(near.unionByName(more))
+    texts = texts_of(coarse.select("node"))
+    return connected_components(cut(confirmed_links(coarse, sigs, texts, spec)))
