@@ -345,6 +345,6 @@ def link_components(found: DataFrame, sigs: DataFrame, texts_of: Callable[[DataF
     coarse = connected_components(near)
     more = cut(bucket_links(found, coarse, sigs, spec))
     if not more.isEmpty():
-        coarse = connected_components(near.unionByName(more))
+        coarse = connected_components(coarse.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     texts = texts_of(coarse.select("node"))
     return connected_components(cut(confirmed_links(coarse, sigs, texts, spec)))
