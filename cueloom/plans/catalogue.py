@@ -1,10 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-from __future__ import annotations
+from . import q_batch, q_codec, q_engine, q_speech, q_text  # noqa: F401
+from .views import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
