@@ -76,43 +76,68 @@ def word_shingles(text: bytes, size: int, cache: WordHashes | None = None) -> np
     return np.unique(acc)
 
 
-def char_shingles(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct hashes of runs of ``size`` bytes; a shorter text is one run."""
+#: Bytes of a character shingle: one machine word.
+SHINGLE_BYTES = 8
+
+
+def _byte_words(data: bytes) -> np.ndarray:
+    """The 8 bytes from every place of the data on, as integers; zeros follow the data."""
+    padded = np.frombuffer(data + b"\0" * 8, dtype=np.uint8)
+    return np.ndarray((len(data),), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def byte_shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of runs of 8 bytes; a shorter text is one run."""
     if not text:
         return np.empty(0, dtype=np.uint64)
-    a = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
-    n = min(size, len(a))
-    acc = np.full(len(a) - n + 1, n, dtype=np.uint64)
-    for i in range(n):
-        acc = acc * np.uint64(0x100000001B3) + a[i : i + len(acc)]
-    return np.unique(mix64(acc))
+    return np.unique(mix64(_byte_words(text)[: max(1, len(text) - SHINGLE_BYTES + 1)]))
 
 
-def signatures(sets: list[np.ndarray], symbols: int) -> np.ndarray:
-    """Min-hash values of 16 bits, one row a set; empty sets get zeros."""
+def byte_signatures(lines: list[bytes], symbols: int) -> np.ndarray:
+    """Signatures of the byte shingles of many lines that are not empty, from one pass over their bytes."""
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    # a line's shingles start at its first places; those that run into the next line are left out
+    h = mix64(_byte_words(b"\0\0\0\0\0\0\0\0".join(lines)))
+    begin = np.cumsum(np.append(0, sizes[:-1] + 8))
+    n = np.maximum(1, sizes - SHINGLE_BYTES + 1)
+    first = np.cumsum(np.append(0, n[:-1]))
+    at = np.repeat(begin - first, n) + np.arange(int(n.sum()))
+    return _signatures((h[at] >> np.uint64(32)).astype(np.uint32), first, symbols)
+
+
+def _signatures(h: np.ndarray, starts: np.ndarray, symbols: int) -> np.ndarray:
+    """Min-hash values of 16 bits of the runs of ``h`` that begin at ``starts``; no run is empty."""
     rng = np.random.default_rng(20_011)
     salt = rng.integers(0, 2**32, symbols, dtype=np.uint32)
     odd = rng.integers(0, 2**31, (2, symbols), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    out = np.zeros((len(sets), symbols), dtype=np.uint16)
-    full = [k for k, s in enumerate(sets) if len(s)]
+    out = np.empty((len(starts), symbols), dtype=np.uint16)
     at = 0
-    while at < len(full):
-        to, size = at, 0
-        while to < len(full) and (to == at or size + len(sets[full[to]]) <= _BLOCK):
-            size += len(sets[full[to]])
-            to += 1
-        own = full[at:to]
-        h = (np.concatenate([sets[k] for k in own]) >> np.uint64(32)).astype(np.uint32)
-        starts = np.cumsum([0, *(len(sets[k]) for k in own)])[:-1]
+    while at < len(starts):
+        # a block of runs that fits the cache; a longer run is a block of its own
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _BLOCK, side="right")) - 1)
+        to = len(starts) if to >= len(starts) - 1 and len(h) - starts[at] <= _BLOCK else min(to, len(starts))
+        part = h[starts[at] : starts[to] if to < len(starts) else len(h)]
+        runs = starts[at:to] - starts[at]
         for s in range(symbols):
-            x = (h ^ salt[s]) * odd[0, s]
+            x = part ^ salt[s]
+            x *= odd[0, s]
             x ^= x >> np.uint32(15)
             x *= odd[1, s]
-            out[own, s] = (np.minimum.reduceat(x, starts) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+            out[at:to, s] = (np.minimum.reduceat(x, runs) * np.uint32(0x9E3779B1)) >> np.uint32(16)
         at = to
     return out
 
 
+def signatures(sets: list[np.ndarray], symbols: int) -> np.ndarray:
+    """Min-hash values of 16 bits, one row a set; empty sets get zeros."""
+    out = np.zeros((len(sets), symbols), dtype=np.uint16)
+    full = [k for k, s in enumerate(sets) if len(s)]
+    if full:
+        h = (np.concatenate([sets[k] for k in full]) >> np.uint64(32)).astype(np.uint32)
+        out[full] = _signatures(h, np.cumsum([0, *(len(sets[k]) for k in full[:-1])]), symbols)
+    return out
+
+
 def chunk_masks(symbols: int, chunk: int, max_distance: int) -> list[tuple[int, ...]]:
     """The columns of every multi-index key, by the general pigeonhole principle.
 
@@ -146,6 +171,29 @@ def keys_of(sig: np.ndarray, masks: list[tuple[int, ...]]) -> np.ndarray:
     return out.view(np.int64)
 
 
+#: Slots of the membership bitmap: 8 MB, whatever the number of members.
+BITMAP_BITS = 26
+
+
+def membership_bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the slots that the one column of 64-bit hashes fills.
+
+    It only spares rows a shuffle: what it lets through is joined exactly. It has a fixed
+    size; with very many members it fills up and spares less.
+    """
+    slot = F.pmod(F.col(hashes.columns[0]), F.lit(1 << BITMAP_BITS))
+    words = hashes.select(F.floor(slot / 64).cast("int").alias("word"), F.expr("1L").alias("one"), (slot % 64).cast("int").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def may_be_member(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes.astype(np.int64) & ((1 << BITMAP_BITS) - 1)
+    return (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

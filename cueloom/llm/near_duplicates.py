@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices
-from .linking import LinkSpec, WordHashes, buckets, chunk_masks, keys_of, link_components, signatures, word_shingles
+from .linking import LinkSpec, WordHashes, buckets, chunk_masks, keys_of, link_components, may_be_member, membership_bitmap, signatures, word_shingles
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 80, 5, 30
 
@@ -60,9 +60,14 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), len(masks)))], names=["key", "node"])
 
 
-def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in slices(batches, 2):
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["doc_id", "text_hash", "z"])
+def _zipped(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches, 2):
+            ok = may_be_member(shared.value, rows.column(1).to_numpy())
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([rows.column(0).filter(mask), rows.column(1).filter(mask), pa.array([zlib.compress(t, 1) for t, k in zip(texts, ok, strict=True) if k], pa.binary())], names=["doc_id", "text_hash", "z"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -80,7 +85,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         of = nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "text_hash")
-        packed = hashed.where("text IS NOT NULL").mapInArrow(_zipped, f"doc_id {kind}, text_hash long, z binary")
+        bitmap = docs.sparkSession.sparkContext.broadcast(membership_bitmap(of.select("text_hash")))  # 8 MB
+        packed = hashed.where("text IS NOT NULL").mapInArrow(_zipped(bitmap), f"doc_id {kind}, text_hash long, z binary")
         return packed.join(of, ["doc_id", "text_hash"]).select("node", "z").dropDuplicates(["node"])
 
     comps = link_components(cut(buckets(members)), nodes.select("node", "n", "sig"), texts_of, spec)
