@@ -36,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, or one made from it, that no column of the table has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fold that evaluation holds out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, unused
 from .linking import LinkSpec, WordHashes, buckets, chunk_masks, keys_of, link_components, may_be_member, membership_bitmap, signatures, word_shingles
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 80, 5, 30
@@ -100,5 +100,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
 def keep_representatives(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their class, with all their columns."""
-    kept = near_duplicates(docs, shingle_words, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    name = unused("__kept", docs)
+    kept = near_duplicates(docs, shingle_words, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
