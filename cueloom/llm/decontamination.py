@@ -169,7 +169,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         found = _scan_documents(plain, of(0), window, id_kind, item_kind)
     else:
         # rows are told apart by id and text: equal rows have equal results, and are counted
-        distinct = keyed.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+        distinct = plain.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
         parts = [_scan_documents(distinct.select(F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"), "copies").alias("doc_id"), "text"), of(k), window, f"struct<doc_id:{id_kind},h:string,copies:bigint>", item_kind) for k in range(shards)]
         joined = parts[0]
         for p in parts[1:]:

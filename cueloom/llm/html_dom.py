@@ -136,46 +136,44 @@ def squeeze(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def blocks(root: Node) -> list[tuple[tuple[str, ...], str, bool]]:
-    """(path of labels, text, skipped) of every block with text, in page order."""
-    out: list[tuple[tuple[str, ...], str, bool]] = []
+def blocks(root: Node) -> list[tuple[tuple[str, ...], str]]:
+    """(path of labels, text) of every block with text, in page order, without skipped elements."""
+    out: list[tuple[tuple[str, ...], str]] = []
     held: list[str] = []
-    state: tuple[tuple[str, ...], bool] = ((), False)
+    begun: tuple[str, ...] = ()
 
     def flush() -> None:
         if held:
             text = squeeze(held)
             if text:
-                out.append((state[0], text, state[1]))
+                out.append((begun, text))
             held.clear()
 
     # iterative, as trees may be deep
-    todo: list = [(root, (), False, 0)]
+    todo: list = [(root, (), 0)]
     while todo:
-        node, path, skipped, k = todo.pop()
-        if k == 0:
-            if node.tag in BLOCK or node.skipped and not skipped:
-                flush()
-            state = (path, skipped)
+        node, path, k = todo.pop()
+        if k == 0 and node.tag in BLOCK:
+            flush()
         while k < len(node.children):
             c = node.children[k]
             k += 1
             if isinstance(c, str):
-                if (path, skipped) != state:
-                    if skipped != state[1]:
-                        flush()
-                    if not held:
-                        state = (path, skipped)
+                if not held:
+                    begun = path
                 held.append(c)
+            elif c.skipped:
+                if c.tag in BLOCK:
+                    flush()
             else:
-                if c.tag in ("br", "td", "th", "img", "wbr"):
-                    held.append(" " if c.tag != "wbr" else "")
-                todo.append((node, path, skipped, k))
-                inner = path + (c.label,) if (c.tag in BLOCK or c.tag in ("td", "th")) and len(path) < MAX_PATH else path
-                todo.append((c, inner, skipped or c.skipped, 0))
+                if c.tag in ("br", "td", "th", "img"):
+                    held.append(" ")
+                todo.append((node, path, k))
+                deeper = (c.tag in BLOCK or c.tag in ("td", "th")) and len(path) < MAX_PATH
+                todo.append((c, path + (c.label,) if deeper else path, 0))
                 break
         else:
-            if node.tag in BLOCK or node.skipped:
+            if node.tag in BLOCK:
                 flush()
     flush()
     return out

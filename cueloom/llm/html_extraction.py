@@ -178,11 +178,11 @@ def induce(pages: list[str], p: WrapperParams) -> dict:
     return {"region": list(region[1:]), "constants": inside}
 
 
-def _own_region(rows: list[tuple[tuple[str, ...], str, bool]]) -> list[tuple[tuple[str, ...], str, bool]]:
-    """Blocks of the page's own article or main element, or else all."""
+def _own_region(rows: list[tuple[tuple[str, ...], str]]) -> list[tuple[tuple[str, ...], str]]:
+    """Blocks of the page's own article or main element, or else all but its headers."""
     for tag in ("article", "main"):
         own = [r for r in rows if any(x.split(".")[0] == tag for x in r[0])]
-        if any(not r[2] for r in own):
+        if own:
             return own
     return [r for r in rows if not any(x.split(".")[0] == "header" for x in r[0])]
 
@@ -192,10 +192,9 @@ def extract(page: str, wrapper: dict | None) -> str:
     rows = blocks(parse(page))
     region = tuple((wrapper or {}).get("region", ()))
     inside = [r for r in rows if r[0][: len(region)] == region] if region and region[-1].split(".")[0] not in ("html", "body") else []
-    if not any(not r[2] for r in inside):
-        inside = _own_region(rows)
+    inside = inside or _own_region(rows)
     constant = {(tuple(path), h) for path, h in (wrapper or {}).get("constants", ())}
-    return "\n".join(text for path, text, skipped in inside if not skipped and not (constant and (path, _hash(text)) in constant))
+    return "\n".join(text for path, text in inside if not constant or (path, _hash(text)) not in constant)
 
 
 def _host(url: str):
