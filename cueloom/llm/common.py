@@ -31,9 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through a reliable checkpoint in the shared folder."""
+    """Cuts lineage through a reliable checkpoint in the shared folder.
+
+    A few files for each core are written at most, as a small table over many shuffle
+    partitions would else become as many tiny files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
 
 
 def unused(name: str, df: DataFrame) -> str:

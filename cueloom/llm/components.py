@@ -52,8 +52,8 @@ def _star(small: bool):
 
 
 def _dealt(edges: DataFrame, small: bool) -> DataFrame:
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return edges.repartition(n, "u").sortWithinPartitions("u", "v").mapInArrow(_star(small), "u long, v long")
+    # no number of partitions is given, so that few edges run in few tasks
+    return edges.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_star(small), "u long, v long")
 
 
 def _round(edges: DataFrame) -> DataFrame:

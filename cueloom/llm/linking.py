@@ -46,6 +46,7 @@ class LinkSpec:
     symbols: int
     max_distance: int
     percent: int = 80
+    unpack: Callable[[bytes], bytes] = zlib.decompress
 
 
 class WordHashes(dict):
@@ -194,10 +195,6 @@ def may_be_member(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def buckets(members: DataFrame) -> DataFrame:
     """(key, hub, node): every node but the smallest of each bucket of ``members(key, node)``."""
 
@@ -220,8 +217,7 @@ def buckets(members: DataFrame) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(hub[keep]), pa.array(node[keep])], names=["key", "hub", "node"])
 
-    n = _partitions(members)
-    return members.select("key", "node").repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, hub long, node long")
+    return members.select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, hub long, node long")
 
 
 def _sig_matrix(column: pa.Array, symbols: int) -> np.ndarray:
@@ -298,8 +294,7 @@ def bucket_links(found: DataFrame, comps: DataFrame, sigs: DataFrame, spec: Link
     placed = found.select("key", "node").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     rows = placed.join(split, "key").join(sigs, "node").select("key", "node", "root", "n", "sig")
-    n = _partitions(found)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -331,6 +326,11 @@ def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def exact_links(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links within one block, or between two, just enough to connect what is linked."""
+    if len(node) <= 4:  # most components are this small, and not worth a matrix
+        within = len(np.unique(block)) == 1
+        own = [(i, j) for i, j in combinations(range(len(node)), 2) if within or block[i] != block[j]]
+        both = {(i, j): len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in own}
+        return [(int(node[i]), int(node[j])) for (i, j), n in both.items() if n and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)]
     label = np.arange(len(node))
     out: list[tuple[int, int]] = []
     size = np.array([len(s) for s in sets])
@@ -367,7 +367,7 @@ def confirmed_links(coarse: DataFrame, sigs: DataFrame, texts: DataFrame, spec:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 3):
-            sets = [spec.shingles(zlib.decompress(z)) for z in rows.column("z").to_pylist()]
+            sets = [spec.shingles(spec.unpack(z)) for z in rows.column("z").to_pylist()]
             got = exact_links(rows.column("node").to_numpy(), rows.column("block").to_numpy(), sets, spec.percent)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
@@ -379,15 +379,14 @@ def confirmed_links(coarse: DataFrame, sigs: DataFrame, texts: DataFrame, spec:
     dealt = sized.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("root", "node", "block", "blocks")
     met = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "z")
-    n = _partitions(coarse)
-    return rows.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
 def link_components(found: DataFrame, sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], spec: LinkSpec) -> DataFrame:
     """(node, root) of all nodes with a link.
 
     ``found(key, hub, node)`` are the checkpointed buckets, ``sigs(node, n, sig)`` sizes
-    and signatures, and ``texts_of(nodes)`` returns ``(node, z)`` for ``nodes(node)``.
+    and signatures, and ``texts_of(nodes)`` returns ``(node, z)``, packed texts, for ``nodes(node)``.
     """
     near = cut(under_distance(found.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sigs, spec))
     coarse = connected_components(near)
