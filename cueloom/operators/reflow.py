@@ -49,9 +49,11 @@ def split_cues(cues: DataFrame, max_cps: float, max_chars: int | None, max_lines
     ``part`` numbers the pieces of a cue from 0.
     """
     n = pieces_needed(F.col("start_ms"), F.col("end_ms"), F.col("lines"), max_cps, max_chars, max_lines)
-    counted = cues.withColumn("__n", n).withColumn("__words", T.line_words(F.col("lines")))
-    grouped = counted.withColumn("__groups", F.when(F.col("__n") > 1, T.balanced_chunks(F.col("__n"), F.col("__words"))))
-    sized = grouped.withColumn("__cum", F.aggregate("__groups", F.array(F.lit(0).cast("bigint")), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + T.text_length(g)))))
+    counted = cues.withColumn("__n", n)
+    # only cues that are split pay for the trip through Python
+    one, many = counted.where("__n <= 1"), counted.where("__n > 1")
+    grouped = many.withColumn("__groups", T.chunk_lines(F.col("__n"), T.line_words(F.col("lines")), max_chars))
+    sized = grouped.withColumn("__cum", F.aggregate("__groups", F.array(F.lit(0).cast("bigint")), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + g["len"]))))
     total = F.greatest(F.lit(1).cast("bigint"), F.element_at("__cum", -1))
     span = F.col("end_ms") - F.col("start_ms")
     raw = F.transform("__cum", lambda c: F.col("start_ms") + half_up(span * (c.cast("double") / total)))
@@ -63,11 +65,10 @@ def split_cues(cues: DataFrame, max_cps: float, max_chars: int | None, max_lines
 
     bounds = F.aggregate(raw, F.expr("cast(array() as array<bigint>)"), clamp)
     bounded = sized.withColumn("__bounds", bounds)
-    body = (lambda ws: T.wrap_words(ws, max_chars)) if max_chars else (lambda ws: F.array(F.array_join(ws, " ")))
-    whole = F.array(F.struct(F.lit(0).alias("part"), F.col("start_ms"), F.col("end_ms"), F.col("lines")))
-    parts = F.transform("__groups", lambda ws, i: F.struct(i.alias("part"), F.element_at("__bounds", i + 1).alias("start_ms"), F.element_at("__bounds", i + 2).alias("end_ms"), body(ws).alias("lines")))
+    parts = F.transform("__groups", lambda x, i: F.struct(i.alias("part"), F.element_at("__bounds", i + 1).alias("start_ms"), F.element_at("__bounds", i + 2).alias("end_ms"), x["lines"].alias("lines")))
     keep = [c for c in cues.columns if c not in ("start_ms", "end_ms", "lines")]
-    return bounded.select(*keep, F.inline(F.when(F.col("__groups").isNull(), whole).otherwise(parts)))
+    whole = one.select(*keep, F.lit(0).alias("part"), "start_ms", "end_ms", "lines")
+    return whole.unionByName(bounded.select(*keep, F.inline(parts)))
 
 
 def reflow(cues: DataFrame, rules: Rules, *key: str) -> DataFrame:
