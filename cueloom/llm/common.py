@@ -33,11 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through a reliable checkpoint in the shared folder.
 
-    A few files for each core are written at most, as a small table over many shuffle
-    partitions would else become as many tiny files.
+    Up to eight partitions go into one file where there are more than a few files for
+    each core, as a small table over many shuffle partitions would else become as many
+    tiny files. Partitions are still worked through one by one.
     """
-    shared_dir(df.sparkSession)
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return df.coalesce(files).checkpoint(eager=True)
 
 
 def unused(name: str, df: DataFrame) -> str:
