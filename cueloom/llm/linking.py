@@ -39,7 +39,8 @@ class LinkSpec:
     """How texts become sets, and when two sets are linked.
 
     ``symbols`` min-hash values of 16 bits make a signature. Linked are sets with
-    ``100 * intersection >= percent * union``.
+    ``100 * intersection >= percent * union``. Where ``by_size`` holds, ``n`` is the exact
+    size of a set and rules pairs out; else it is only an estimate of the work.
     """
 
     shingles: Callable[[bytes], np.ndarray]
@@ -47,6 +48,7 @@ class LinkSpec:
     max_distance: int
     percent: int = 80
     unpack: Callable[[bytes], bytes] = zlib.decompress
+    by_size: bool = True
 
 
 class WordHashes(dict):
@@ -87,18 +89,27 @@ def _byte_words(data: bytes) -> np.ndarray:
     return np.ndarray((len(data),), dtype="<u8", buffer=padded, strides=(1,))
 
 
+def _scrambled(w: np.ndarray) -> np.ndarray:
+    """A one-to-one hash of machine words whose upper half depends on every bit."""
+    w = w ^ (w >> np.uint64(32))
+    w *= np.uint64(0x9E3779B97F4A7C15)
+    w ^= w >> np.uint64(29)
+    w *= np.uint64(0xBF58476D1CE4E5B9)
+    return w
+
+
 def byte_shingles(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of runs of 8 bytes; a shorter text is one run."""
     if not text:
         return np.empty(0, dtype=np.uint64)
-    return np.unique(mix64(_byte_words(text)[: max(1, len(text) - SHINGLE_BYTES + 1)]))
+    return np.unique(_scrambled(_byte_words(text)[: max(1, len(text) - SHINGLE_BYTES + 1)]))
 
 
 def byte_signatures(lines: list[bytes], symbols: int) -> np.ndarray:
     """Signatures of the byte shingles of many lines that are not empty, from one pass over their bytes."""
     sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     # a line's shingles start at its first places; those that run into the next line are left out
-    h = mix64(_byte_words(b"\0\0\0\0\0\0\0\0".join(lines)))
+    h = _scrambled(_byte_words(b"\0\0\0\0\0\0\0\0".join(lines)))
     begin = np.cumsum(np.append(0, sizes[:-1] + 8))
     n = np.maximum(1, sizes - SHINGLE_BYTES + 1)
     first = np.cumsum(np.append(0, n[:-1]))
@@ -110,7 +121,7 @@ def _signatures(h: np.ndarray, starts: np.ndarray, symbols: int) -> np.ndarray:
     """Min-hash values of 16 bits of the runs of ``h`` that begin at ``starts``; no run is empty."""
     rng = np.random.default_rng(20_011)
     salt = rng.integers(0, 2**32, symbols, dtype=np.uint32)
-    odd = rng.integers(0, 2**31, (2, symbols), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    odd = rng.integers(0, 2**31, symbols, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     out = np.empty((len(starts), symbols), dtype=np.uint16)
     at = 0
     while at < len(starts):
@@ -121,9 +132,7 @@ def _signatures(h: np.ndarray, starts: np.ndarray, symbols: int) -> np.ndarray:
         runs = starts[at:to] - starts[at]
         for s in range(symbols):
             x = part ^ salt[s]
-            x *= odd[0, s]
-            x ^= x >> np.uint32(15)
-            x *= odd[1, s]
+            x *= odd[s]
             out[at:to, s] = (np.minimum.reduceat(x, runs) * np.uint32(0x9E3779B1)) >> np.uint32(16)
         at = to
     return out
@@ -226,6 +235,8 @@ def _sig_matrix(column: pa.Array, symbols: int) -> np.ndarray:
 
 def _allowed(n_a, n_b, spec: LinkSpec):
     """Sizes that the similarity does not rule out."""
+    if not spec.by_size:
+        return np.ones(np.broadcast(n_a, n_b).shape, dtype=bool)
     return (100 * np.minimum(n_a, n_b) >= spec.percent * np.maximum(n_a, n_b)) & (np.minimum(n_a, n_b) > 0)
 
 
