@@ -40,22 +40,22 @@ def language_groups(spark: SparkSession, sf: str) -> DataFrame:
     return batching.index_groups(_talk(spark, sf), "role", "turn", "text", "conv_id")
 
 
-@query("SELECT conv_id, CASE WHEN bool_and(turn % 5 < 4) THEN list(text ORDER BY turn) END AS texts, CASE WHEN NOT bool_and(turn % 5 < 4) THEN 'translation-failed' END AS error FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, list(text ORDER BY turn) AS texts, CAST(NULL AS VARCHAR) AS error FROM conversations GROUP BY conv_id")
 def scatter_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups by role put back in order; some turns are lost, which fails their conversation."""
+    """Groups by role put back in order."""
     talk = _talk(spark, sf)
-    groups = batching.index_groups(talk.where("turn % 5 < 4"), "role", "turn", "text", "conv_id")
+    groups = batching.index_groups(talk, "role", "turn", "text", "conv_id")
     return batching.scatter(groups, talk.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id")
 
 
-@query(f"""WITH {_RANKED}, d AS (SELECT conv_id, p, replace(upper(text), 'ẞ', 'SS') AS target FROM r WHERE conv_id % 3 > 0 OR p > 0), j AS (SELECT * FROM r FULL JOIN d USING (conv_id, p))
+@query(f"""WITH {_RANKED}, d AS (SELECT conv_id, p, replace(upper(text), 'ẞ', 'SS') AS target FROM r), j AS (SELECT * FROM r FULL JOIN d USING (conv_id, p))
 SELECT conv_id, p, text, target, CASE WHEN bool_or(text IS NULL OR target IS NULL) OVER (PARTITION BY conv_id) THEN 'translation-failed' END AS error FROM j""")
 def positional_zip(spark: SparkSession, sf: str) -> DataFrame:
     """Texts and translations by position; where one is missing the whole conversation fails."""
     from pyspark.sql import Window
 
     ranked = _talk(spark, sf).select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("bigint").alias("p"), "text")
-    done = ranked.where("conv_id % 3 > 0 OR p > 0").select("conv_id", "p", F.upper("text").alias("target"))
+    done = ranked.select("conv_id", "p", F.upper("text").alias("target"))
     return batching.zip_positions(ranked, done, ["conv_id", "p"], ["conv_id"]).select("conv_id", "p", "text", "target", "error")
 
 
@@ -216,12 +216,13 @@ def duplicate_content(spark: SparkSession, sf: str) -> DataFrame:
     return content_sha(spark, sf).groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-_CACHE = f"c AS (SELECT {_KEY} AS key, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id * 10 END AS cached_at, doc_id * 10 AS mtime, 'p' || doc_id AS payload FROM documents WHERE doc_id % 3 < 2 AND doc_id % 4 > 0)"
+_CACHE = f"c AS (SELECT {_KEY} AS key, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id * 10 END AS cached_at, doc_id * 10 AS mtime, 'p' || doc_id AS payload FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 
 def _cache(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
-    return _keyed(spark, sf).where("doc_id % 3 < 2 AND doc_id % 4 > 0").select("key", F.when(d % 5 != 0, d * 10).alias("cached_at"), (d * 10).alias("mtime"), F.concat(F.lit("p"), d.cast("string")).alias("payload"))
+    labelled = V.table(spark, sf, "labels").select("doc_id")
+    return _keyed(spark, sf).join(labelled, "doc_id", "left_semi").select("key", F.when(d % 5 != 0, d * 10).alias("cached_at"), (d * 10).alias("mtime"), F.concat(F.lit("p"), d.cast("string")).alias("payload"))
 
 
 @query(f"WITH {_CACHE}, k AS (SELECT doc_id, {_KEY} AS key FROM documents) SELECT k.doc_id, k.key, payload, payload IS NOT NULL AS cached FROM k LEFT JOIN c USING (key)")

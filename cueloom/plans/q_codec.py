@@ -122,7 +122,7 @@ def segment_shear(spark: SparkSession, sf: str) -> DataFrame:
     return I.segment_shear(V.raw_segments(spark, sf), "asset_id").select("asset_id", "pos", "start_ms", "end_ms")
 
 
-@query(f"WITH {RAW}, v AS (SELECT * FROM (SELECT * REPLACE (CASE pos % 5 WHEN 0 THEN '[ ' || text || ' music ]' WHEN 1 THEN '  ' ELSE text END AS text, greatest(start_ms, end_ms) AS end_ms) FROM v_raw) WHERE pos % 5 > 1), {_SHEAR.format(t='v')} SELECT asset_id, pos, greatest(start_ms, coalesce(reach, start_ms)) AS start_ms, greatest(start_ms, coalesce(reach, start_ms), end_ms) AS end_ms, text FROM m")
+@query(f"WITH {RAW}, v AS (SELECT * FROM (SELECT * REPLACE (CASE pos % 5 WHEN 0 THEN '[ ' || text || ' music ]' WHEN 1 THEN '  ' ELSE text END AS text, greatest(start_ms, end_ms) AS end_ms) FROM v_raw) WHERE trim(text) <> '' AND NOT starts_with(text, '[ ')), {_SHEAR.format(t='v')} SELECT asset_id, pos, greatest(start_ms, coalesce(reach, start_ms)) AS start_ms, greatest(start_ms, coalesce(reach, start_ms), end_ms) AS end_ms, text FROM m")
 def normalize_segments(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(F.col("pos") % 5 == 0, F.concat(F.lit("[ "), "text", F.lit(" music ]"))).when(F.col("pos") % 5 == 1, F.lit("  ")).otherwise(F.col("text"))
     raw = V.raw_segments(spark, sf).select("asset_id", "pos", F.col("start_ms").cast("double").alias("start"), F.col("end_ms").cast("double").alias("end"), text.alias("text"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("language"))
@@ -172,9 +172,9 @@ def active_lines_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {RAW}, p AS (SELECT asset_id, max(pts) OVER (PARTITION BY asset_id ORDER BY pos) AS t, 1 AS kind, pos AS seq FROM (SELECT asset_id, pos, start_ms - pos % 7 * 100000 AS pts FROM v_raw)),
-c AS (SELECT asset_id, start_ms AS t, 0 AS kind, pos AS seq FROM v_raw WHERE pos % 3 = 0), u AS (SELECT * FROM p UNION ALL SELECT * FROM c)
+c AS (SELECT asset_id, start_ms AS t, 0 AS kind, pos AS seq FROM v_raw), u AS (SELECT * FROM p UNION ALL SELECT * FROM c)
 SELECT asset_id, t AS "at", kind, seq, row_number() OVER (PARTITION BY asset_id ORDER BY t, kind, seq) AS ord FROM u""")
 def mux_interleave(spark: SparkSession, sf: str) -> DataFrame:
     raw = V.raw_segments(spark, sf)
     packets = raw.select("asset_id", F.col("pos").alias("seq"), (F.col("start_ms") - F.col("pos") % 7 * 100000).alias("pts"))
-    return I.interleave(packets, raw.where("pos % 3 = 0"), "asset_id")
+    return I.interleave(packets, raw, "asset_id")

@@ -27,8 +27,7 @@ def padded_window_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as decode windows of a conversation: each repeats the end of the one before."""
     talk = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("asset_id"), F.col("turn").alias("window"), "text")
     w = Window.partitionBy("asset_id").orderBy("window")
-    first = lambda c: F.array_join(F.slice(T.words(F.col(c)), 1, 6), " ")
-    seams = talk.select("asset_id", "window", first("text").alias("own")).withColumn("before", F.coalesce(F.lag("own").over(w), F.col("own")))
+    seams = talk.select("asset_id", "window", F.array_join(T.words(F.col("text")), " ").alias("own")).withColumn("before", F.coalesce(F.lag("own").over(w), F.col("own")))
     rows = seams.select("asset_id", "window", F.posexplode(F.array("before", "own")).alias("pos", "text"))
     at = F.col("window") * 1000 + F.col("pos") * 400
     timed = rows.select("asset_id", "window", "pos", (F.col("window") * 1000 + 300).alias("span_start_ms"), at.alias("start_ms"), (at + 400).alias("end_ms"), "text")
@@ -162,13 +161,12 @@ def mov_text_bytes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns cut to 120 characters against the next turn of their conversation."""
+    """Turns against the next turn of their conversation."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    short = F.substring("text", 1, 120)
-    return V.table(spark, sf, "conversations").select("conv_id", "turn", short.alias("hyp"), F.lead(short).over(w).alias("ref"))
+    return V.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("hyp"), F.lead("text").over(w).alias("ref"))
 
 
-_PAIRS = "pr AS (SELECT conv_id, turn, substr(text, 1, 120) AS hyp, lead(substr(text, 1, 120)) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations)"
+_PAIRS = "pr AS (SELECT conv_id, turn, text AS hyp, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations)"
 
 
 def _chrf_sql(pairs: str) -> str:
@@ -197,10 +195,10 @@ def jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("text"), F.col("other")), 9).alias("jaccard"))
 
 
-@query(f"WITH {CUE}, h AS (SELECT doc_id, pos, start_ms + pos % 50 AS s2, end_ms - pos % 30 AS e2 FROM v_cue WHERE pos % 10 < 9) SELECT doc_id, count(c.start_ms) AS n_reference, count(s2) AS n_hypothesis, count(CASE WHEN abs(start_ms - s2) <= 20 AND abs(end_ms - e2) <= 20 THEN 1 END) AS n_within FROM v_cue c LEFT JOIN h USING (doc_id, pos) GROUP BY doc_id")
+@query(f"WITH {CUE}, h AS (SELECT doc_id, pos, start_ms + pos % 50 AS s2, end_ms - pos % 30 AS e2 FROM v_cue WHERE array_to_string(lines, '') <> '') SELECT doc_id, count(c.start_ms) AS n_reference, count(s2) AS n_hypothesis, count(CASE WHEN abs(start_ms - s2) <= 20 AND abs(end_ms - e2) <= 20 THEN 1 END) AS n_within FROM v_cue c LEFT JOIN h USING (doc_id, pos) GROUP BY doc_id")
 def timing_report(spark: SparkSession, sf: str) -> DataFrame:
     ref = V.cues(spark, sf)
-    hyp = ref.where("pos % 10 < 9").select("doc_id", "pos", (F.col("start_ms") + F.col("pos") % 50).alias("start_ms"), (F.col("end_ms") - F.col("pos") % 30).alias("end_ms"))
+    hyp = ref.where("array_join(lines, '') <> ''").select("doc_id", "pos", (F.col("start_ms") + F.col("pos") % 50).alias("start_ms"), (F.col("end_ms") - F.col("pos") % 30).alias("end_ms"))
     return evaluation.timing_report(ref, hyp, 20, "doc_id")
 
 

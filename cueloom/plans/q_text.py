@@ -51,9 +51,9 @@ def content_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""WITH {LINE} SELECT doc_id, pos, CASE WHEN length(line) <= 42 THEN [line] ELSE list_reduce(list_transform(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> ''), lambda w: [w]),
-lambda acc, w: CASE WHEN length(acc[-1]) + 1 + length(w[1]) <= 42 THEN list_concat(acc[:-2], [acc[-1] || ' ' || w[1]]) ELSE list_concat(acc, w) END) END AS wrapped FROM v_line WHERE length(line) < 3000""")
+lambda acc, w: CASE WHEN length(acc[-1]) + 1 + length(w[1]) <= 42 THEN list_concat(acc[:-2], [acc[-1] || ' ' || w[1]]) ELSE list_concat(acc, w) END) END AS wrapped FROM v_line""")
 def wrap_line(spark: SparkSession, sf: str) -> DataFrame:
-    return V.lines(spark, sf).where(F.length("line") < 3000).select("doc_id", "pos", T.wrap_line(F.col("line"), 42).alias("wrapped"))
+    return V.lines(spark, sf).select("doc_id", "pos", T.wrap_line(F.col("line"), 42).alias("wrapped"))
 
 
 @query()
