@@ -139,16 +139,25 @@ def balanced_chunks(n: Column, tokens: Column) -> Column:
     return F.when((n <= 1) | (F.size(tokens) < 2), F.array(tokens)).otherwise(F.aggregate(tokens, empty, step, finish))
 
 
-def is_marker_line(line: Column) -> Column:
-    """A sound cue in brackets, a line of music, or nothing at all."""
+def marker_body(line: Column) -> Column:
+    """A line without simple tags, one leading dash and white space around it."""
     bare = strip(F.regexp_replace(line, "</?[ibu]>", ""))
-    t = strip(F.when(bare.startswith("- "), F.substring(bare, 3, F.length(bare))).otherwise(bare))
+    return strip(F.when(bare.startswith("- "), F.substring(bare, 3, F.length(bare))).otherwise(bare))
+
+
+def is_marker_body(t: Column) -> Column:
     wrapped = lambda a, b: t.startswith(a) & t.endswith(b)
     return (t == "") | wrapped("(", ")") | wrapped("[", "]") | t.rlike(rf"^[{NOTES}](?s:.*)[{NOTES}]\z") | t.rlike(rf"^[{NOTES}\s]+\z")
 
 
+def is_marker_line(line: Column) -> Column:
+    """A sound cue in brackets, a line of music, or nothing at all."""
+    return is_marker_body(marker_body(line))
+
+
 def is_music_cue(lines: Column) -> Column:
-    return (F.size(lines) > 0) & F.forall(lines, is_marker_line)
+    # the bodies first: inside one lambda each test would strip the line anew
+    return (F.size(lines) > 0) & F.forall(F.transform(lines, lambda x: marker_body(x)), is_marker_body)
 
 
 def is_non_speech(text: Column) -> Column:
