@@ -259,3 +259,17 @@ def test_quotations_equal_sql(spark, tmp_path):
 def test_quotations_run_without_python(spark, sf):
     plan = link_quotations(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_every_layout_of_a_hot_host_has_its_wrapper(spark):
+    """The constants of a layout are learnt from all its pages, however few of the host's they are."""
+    shapes = [
+        (140, "<body><div class=a><p>Notice of a</p><p>Text {0}</p></div></body>"),
+        (50, "<body><div class=b><p>Notice of b</p><p>Text {0}</p></div></body>"),
+        (10, "<body><div class=c><p>Text {0}</p><p>Notice of c</p></div></body>"),
+    ]
+    rows = [(1000 * s + k, f"https://hot.org/{s}/{k}", page.format(f"{s} {k}")) for s, (n, page) in enumerate(shapes) for k in range(n)]
+    rows += [(9000 + k, "https://hot.org/copy", shapes[0][1].format("0 0")) for k in range(50)]
+    got = {r.page_id: r.text for r in HX.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = {1000 * s + k: f"Text {s} {k}" for s, (n, _) in enumerate(shapes) for k in range(n)}
+    assert got == want | dict.fromkeys(range(9000, 9050), "Text 0 0")
