@@ -79,13 +79,14 @@ def word_shingles(text: bytes, size: int, cache: WordHashes | None = None) -> np
     return np.unique(acc)
 
 
-#: Bytes of a character shingle: one machine word.
-SHINGLE_BYTES = 8
+#: Code points of a character shingle.
+SHINGLE_CHARS = 5
+_GAP = b"\0" * 8
 
 
 def _byte_words(data: bytes) -> np.ndarray:
     """The 8 bytes from every place of the data on, as integers; zeros follow the data."""
-    padded = np.frombuffer(data + b"\0" * 8, dtype=np.uint8)
+    padded = np.frombuffer(data + _GAP, dtype=np.uint8)
     return np.ndarray((len(data),), dtype="<u8", buffer=padded, strides=(1,))
 
 
@@ -98,23 +99,52 @@ def _scrambled(w: np.ndarray) -> np.ndarray:
     return w
 
 
+def _char_runs(data: bytes) -> np.ndarray:
+    """A hash of the 5 code points from every code point of the data on; zeros follow the data."""
+    if data.isascii():
+        return _scrambled(_byte_words(data) & np.uint64((1 << 8 * SHINGLE_CHARS) - 1))
+    text = data.decode("utf-8", "surrogateescape")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass") + b"\0" * 4 * SHINGLE_CHARS, dtype="<u4").astype(np.uint64)
+    n = len(points) - SHINGLE_CHARS
+    packed = points[:n].copy()
+    for i in range(1, SHINGLE_CHARS):
+        packed |= points[i : i + n] << np.uint64(8 * i)
+    # what holds more than ASCII does not fit one word and is mixed code point by code point
+    beyond = np.flatnonzero(points > 127)
+    at = np.unique((beyond[:, None] - np.arange(SHINGLE_CHARS)).ravel())
+    at = at[(at >= 0) & (at < n)]
+    mixed = np.full(len(at), SHINGLE_CHARS, dtype=np.uint64)
+    for i in range(SHINGLE_CHARS):
+        mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + points[at + i])
+    packed[at] = mixed
+    return _scrambled(packed)
+
+
 def byte_shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes of runs of 8 bytes; a shorter text is one run."""
+    """Sorted distinct hashes of runs of 5 code points of UTF-8 bytes; a shorter text is one run."""
     if not text:
         return np.empty(0, dtype=np.uint64)
-    return np.unique(_scrambled(_byte_words(text)[: max(1, len(text) - SHINGLE_BYTES + 1)]))
+    h = _char_runs(text)
+    return np.unique(h[: max(1, len(h) - SHINGLE_CHARS + 1)])
 
 
 def byte_signatures(lines: list[bytes], symbols: int) -> np.ndarray:
-    """Signatures of the byte shingles of many lines that are not empty, from one pass over their bytes."""
-    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    # a line's shingles start at its first places; those that run into the next line are left out
-    h = _scrambled(_byte_words(b"\0\0\0\0\0\0\0\0".join(lines)))
-    begin = np.cumsum(np.append(0, sizes[:-1] + 8))
-    n = np.maximum(1, sizes - SHINGLE_BYTES + 1)
-    first = np.cumsum(np.append(0, n[:-1]))
-    at = np.repeat(begin - first, n) + np.arange(int(n.sum()))
-    return _signatures((h[at] >> np.uint64(32)).astype(np.uint32), first, symbols)
+    """Signatures of the shingles of many lines that are not empty, from one pass over each kind of line."""
+    out = np.empty((len(lines), symbols), dtype=np.uint16)
+    plain = np.fromiter((x.isascii() for x in lines), dtype=bool, count=len(lines))
+    for at in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+        if not len(at):
+            continue
+        own = [lines[k] for k in at]
+        sizes = np.fromiter((len(x) if x.isascii() else len(x.decode("utf-8", "surrogateescape")) for x in own), dtype=np.int64, count=len(own))
+        # a line's shingles start at its first places; those that run into the next line are left out
+        h = _char_runs(_GAP.join(own))
+        begin = np.cumsum(np.append(0, sizes[:-1] + len(_GAP)))
+        n = np.maximum(1, sizes - SHINGLE_CHARS + 1)
+        first = np.cumsum(np.append(0, n[:-1]))
+        places = np.repeat(begin - first, n) + np.arange(int(n.sum()))
+        out[at] = _signatures((h[places] >> np.uint64(32)).astype(np.uint32), first, symbols)
+    return out
 
 
 def _signatures(h: np.ndarray, starts: np.ndarray, symbols: int) -> np.ndarray:

@@ -227,3 +227,35 @@ def test_empty_tables(spark):
 def test_checkpoint_folder_is_that_of_the_session(spark):
     assert cut(spark.range(3)).count() == 3
     assert spark.sparkContext.getCheckpointDir()
+
+
+def char_runs(line):
+    return {line[k : k + 5] for k in range(max(1, len(line) - 4))}
+
+
+def test_lines_are_sets_of_five_code_points(spark):
+    """Brute force over runs of 5 code points; small edits of short lines and of other scripts link."""
+    rng = random.Random(9)
+    scripts = ["abcdefghijklmnopqrstuvwxyz ", "абвгдежзийклмнопрстуфхцчшщыьэюя ", "あいうえおかきくけこさしすせそたちつてと漢字", "aéßüñoçêiuä "]
+    given = []
+    for k in range(60):
+        line = "".join(rng.choice(scripts[k % 4]) for _ in range(rng.randint(50, 90))).strip()
+        cut_at = rng.randint(10, len(line) - 10)
+        given += [(2 * k, line), (2 * k + 1, line[:cut_at] + "x" + line[cut_at + 1 :])]
+    got = line_components(X.documents(spark, given)).collect()
+    first = {" ".join(t.split()): (i, 0) for i, t in reversed(given)}
+    root = brute({p: char_runs(line) for line, p in first.items()})
+    assert {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in got} == {(i, 0): root[first[" ".join(t.split())]] for i, t in given}
+    assert sum(not r.kept for r in got) > 40
+
+
+def test_shingles_are_one_for_each_run_of_code_points():
+    lines = ["abcdé fghij", "xabcdé", "漢字かな交じり文", "🙂🙂🙃🙂🙂🙂", "abc", "é", "plain ascii line"]
+    for x in lines:
+        assert len(L.byte_shingles(x.encode())) == len(char_runs(x))
+    for x in lines:
+        for y in lines:
+            both = np.intersect1d(L.byte_shingles(x.encode()), L.byte_shingles(y.encode()))
+            assert len(both) == len(char_runs(x) & char_runs(y))
+    raw = [x.encode() for x in lines]
+    assert (L.byte_signatures(raw, 16) == L.signatures([L.byte_shingles(x) for x in raw], 16)).all()
