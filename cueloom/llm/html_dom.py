@@ -35,6 +35,12 @@ NOT_ARTICLE = frozenset(
     "footer masthead topbar comment comments commentlist disqus replies respond discussion share sharing social related recommended newsletter "
     "subscribe subscription signup login widget widgets toolbar pagination pager copyright".split()
 )
+#: Those of them that tell it inside the article as well; the others are ordinary words.
+NEVER_ARTICLE = frozenset(
+    "ad ads advert adverts advertisement advertisements adslot adbox sponsored sidebar nav navbar breadcrumb breadcrumbs "
+    "comments commentlist disqus newsletter pagination pager gdpr".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an element's start ends, up to the nearest of the elements that hold it.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Labels of a path; what lies deeper has the path of that depth.
@@ -48,6 +54,8 @@ class Node:
     label: str
     skipped: bool
     children: list = field(default_factory=list)  # of Node and str
+    #: Not the article by a word that tells it only outside of the article.
+    doubtful: bool = False
 
 
 def _words(value: str) -> set[str]:
@@ -61,11 +69,15 @@ def _element(tag: str, attrs: str) -> Node:
     words = _words(got.get("class", ""))
     label = ".".join([tag, *sorted(words)])
     skipped = tag in NOT_TEXT
+    doubtful = False
     if tag not in _WHOLE:
-        skipped |= bool((words | _words(got.get("id", ""))) & NOT_ARTICLE)
+        # the id of a heading or section names its subject
+        ids = set() if tag in _HEADINGS else _words(got.get("id", ""))
+        skipped |= bool((words if tag == "section" else words | ids) & NEVER_ARTICLE)
+        doubtful = bool((words | ids) & NOT_ARTICLE)
         skipped |= got.get("role", "").lower() in _HIDING_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true"
         skipped |= "display:none" in got.get("style", "").replace(" ", "").lower()
-    return Node(tag, label, skipped)
+    return Node(tag, label, skipped, doubtful=doubtful and not skipped)
 
 
 def parse(text: str) -> Node:
@@ -136,8 +148,12 @@ def squeeze(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def blocks(root: Node) -> list[tuple[tuple[str, ...], str]]:
-    """(path of labels, text) of every block with text, in page order, without skipped elements."""
+def blocks(root: Node, region: tuple[str, ...] | None = None) -> list[tuple[tuple[str, ...], str]]:
+    """(path of labels, text) of every block with text, in page order, without skipped elements.
+
+    Doubtful elements are left out too, but for those within an article or main element
+    or within the ``region``; the empty region is the whole page.
+    """
     out: list[tuple[tuple[str, ...], str]] = []
     held: list[str] = []
     begun: tuple[str, ...] = ()
@@ -149,6 +165,9 @@ def blocks(root: Node) -> list[tuple[tuple[str, ...], str]]:
                 out.append((begun, text))
             held.clear()
 
+    def content(path: tuple[str, ...]) -> bool:
+        return region is not None and path[: len(region)] == region or any(x.split(".")[0] in ("article", "main") for x in path)
+
     # iterative, as trees may be deep
     todo: list = [(root, (), 0)]
     while todo:
@@ -162,7 +181,7 @@ def blocks(root: Node) -> list[tuple[tuple[str, ...], str]]:
                 if not held:
                     begun = path
                 held.append(c)
-            elif c.skipped:
+            elif c.skipped or c.doubtful and not content(path):
                 if c.tag in BLOCK:
                     flush()
             else:

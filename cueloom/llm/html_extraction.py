@@ -149,7 +149,7 @@ def layout_of(root: Node) -> int:
             if c.tag in _SCAFFOLD:
                 found.add(own := (*path, c.label))
                 # what lies in the article, or in a menu, differs from page to page
-                if len(own) < SCAFFOLD_DEPTH and not c.skipped and c.tag not in ("article", "main"):
+                if len(own) < SCAFFOLD_DEPTH and not (c.skipped or c.doubtful) and c.tag not in ("article", "main"):
                     todo.append((c, own))
             elif not c.skipped and (c.tag in ("html", "body") or c.tag not in BLOCK):
                 todo.append((c, path))
@@ -198,7 +198,7 @@ def extract(page: str, wrapper: dict | None) -> str:
     inside: list[tuple[tuple[str, ...], str]] = []
     for own in (region, wrapper["region"]):
         if not inside and own and own[-1].split(".")[0] not in ("html", "body"):
-            inside = [r for r in rows if r[0][: len(own)] == own]
+            inside = [r for r in blocks(root, own) if r[0][: len(own)] == own]
     return "\n".join(text for path, text in inside or _own_region(rows) if not constant or _key(path, text) not in constant)
 
 
@@ -225,13 +225,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, t in zip(rows.column(0).to_pylist(), texts, strict=True):
             root = parse(t.decode())
             own = blocks(root)
-            labels = {path: _hash(json.dumps(path)) for path, _ in own}
-            found = {_key(path, text): {"path": labels[path], "size": len(text)} for path, text in own}
+            # doubtful blocks may turn out constant, but a region is not looked for by them
+            doubtful = blocks(root, ())
+            labels = {path: _hash(json.dumps(path)) for path, _ in own + doubtful}
+            found = {_key(path, text): {"path": labels[path], "size": 0} for path, text in doubtful}
+            found |= {_key(path, text): {"path": labels[path], "size": len(text)} for path, text in own}
             out.append(
                 {
                     "host": host,
                     "layout": layout_of(root),
-                    "content": _hash("\n".join(text for _, text in own)),
+                    "content": _hash("\n".join(text for _, text in doubtful)),
                     "blocks": [{"key": k, **v} for k, v in found.items()],
                     "paths": [{"path": h, "labels": json.dumps(path)} for path, h in labels.items()],
                 }

@@ -273,3 +273,21 @@ def test_every_layout_of_a_hot_host_has_its_wrapper(spark):
     got = {r.page_id: r.text for r in HX.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     want = {1000 * s + k: f"Text {s} {k}" for s, (n, _) in enumerate(shapes) for k in range(n)}
     assert got == want | dict.fromkeys(range(9000, 9050), "Text 0 0")
+
+
+ORDINARY = '<h2 id="social-policy">Policy {0}</h2><section id="discussion"><p>Discussed {0}</p></section><div class="alert"><p>Warned {0}</p></div><p>By <span class="share">half {0}</span></p>'
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_ordinary_words_of_a_class_or_id_drop_nothing_in_the_article(outer):
+    page = f"<body><div class=related>Other</div><{outer}>{ORDINARY}<div class=ads>Buy</div></{outer}></body>"
+    assert HX.extract(page.format(1), None) == "Policy 1\nDiscussed 1\nWarned 1\nBy half 1"
+
+
+def test_ordinary_words_drop_nothing_in_the_region(spark):
+    long = "<p>" + "Words of the text {0}. " * 20 + "</p>"
+    page = f"<body><div class=story>{long}{ORDINARY}<div class=notice>Same for all</div><div class=sidebar>Side {{0}}</div></div><div class=related>Next {{0}}</div></body>"
+    df = spark.createDataFrame([(k, f"https://story.org/{k}", page.format(k)) for k in range(20)], "page_id bigint, url string, html string")
+    for r in HX.extract_pages(df).collect():
+        k = r.page_id
+        assert r.text.split("\n")[1:] == [f"Policy {k}", f"Discussed {k}", f"Warned {k}", f"By half {k}"]
