@@ -19,6 +19,9 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+#: Those that hold the rest of the page where their end is missing.
+_TO_THE_END = frozenset("script style textarea title".split())
 #: Elements whose start and end part blocks of text.
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -86,7 +89,7 @@ def parse(text: str) -> Node:
     stack = [root]
     paragraphs: list[int] = []  # where p elements stand in the stack
     at, size = 0, len(text)
-    low = None
+    unclosed: set[str] = set()
 
     def close_to(k: int) -> None:
         del stack[k:]
@@ -130,12 +133,14 @@ def parse(text: str) -> Node:
         if tag in VOID or text[m.end() - 2 : m.end()] == "/>" and tag in RAW:
             continue
         if tag in RAW:
-            low = text.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            if end < 0:
-                break
-            at = end
-            close = text.find(">", end)
+            end = None if tag in unclosed else _RAW_END[tag].search(text, at)
+            if end is None:
+                if tag in _TO_THE_END:
+                    break
+                unclosed.add(tag)
+                continue
+            at = end.end()
+            close = text.find(">", at)
             at = size if close < 0 else close + 1
             continue
         if tag == "p":

@@ -291,3 +291,16 @@ def test_ordinary_words_drop_nothing_in_the_region(spark):
     for r in HX.extract_pages(df).collect():
         k = r.page_id
         assert r.text.split("\n")[1:] == [f"Policy {k}", f"Discussed {k}", f"Warned {k}", f"By half {k}"]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>" + "\u0130" * 20 + "</p><script>a</SCRIPT >kept<p>more", "\u0130" * 20 + "\nkept\nmore"),
+        *((f"<p>a</p><{tag}>b<p>c</p>", "a\nb\nc") for tag in ("svg", "math", "noscript", "template", "iframe")),
+        ("<p>a</p><svg>x</svg>b<svg><p>c", "a\nb\nc"),
+        ("<p>a</p><style>b<p>c", "a"),
+    ],
+)
+def test_text_behind_raw_elements(page, text):
+    assert HX.extract(page, None) == text
