@@ -11,7 +11,8 @@ into several by the hash of the item, and the documents are scanned against each
 turn, with the same results.
 
 Null or empty texts have no words and no hits. Null, empty or wordless items have no
-windows. Repeated items are one item each by id; each document row has its own result.
+windows. Repeated items are one item each by id, those with a null id together one with a
+null id, the last of a list; each document row has its own result.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def build_automaton(items: list[tuple[object, bytes]], size: int) -> ahocorasick
             by.setdefault(s, (n, set()))[1].add(item_id)
     auto = ahocorasick.Automaton()
     for s, (n, ids) in by.items():
-        auto.add_word(s, (n, len(s), sorted(ids)))
+        auto.add_word(s, (n, len(s), list(ids)))
     if len(auto):
         auto.make_automaton()
     return auto
@@ -97,7 +98,7 @@ def _scan_documents(docs: DataFrame, items: list[tuple[object, bytes]], size: in
                     spans = [{"first_word": a, "n_words": b - a, "byte_from": at[a][0], "byte_to": at[b - 1][1]} for a, b in ranges]
                 out["n_words"].append(len(words))
                 out["spans"].append(spans)
-                out["item_ids"].append(sorted(found))
+                out["item_ids"].append(sorted(found, key=lambda x: (x is None, x)))
             span = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("byte_from", pa.int64()), ("byte_to", pa.int64())])
             ids = pa.array(out["item_ids"], pa.list_(pa.string() if item_kind == "string" else pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["spans"], pa.list_(span)), ids], names=["doc_id", "n_words", "spans", "item_ids"])
@@ -131,7 +132,7 @@ def _merge_ranges(spans):
 
 def _shards(benchmark: DataFrame, window: int, max_chars: int):
     """Number of automata, kind of the item ids, and a function that collects the items of one."""
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     kind = "string" if benchmark.schema["item_id"].dataType.simpleString() == "string" else "bigint"
     # a text of n words has n windows of `window` words at most
     chars = items.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0

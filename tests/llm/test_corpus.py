@@ -304,3 +304,21 @@ def test_ordinary_words_drop_nothing_in_the_region(spark):
 )
 def test_text_behind_raw_elements(page, text):
     assert HX.extract(page, None) == text
+
+
+def test_items_without_an_id_hit(spark, tmp_path):
+    import duckdb
+
+    items = [(1, "one two three four"), (None, "five six seven eight"), (None, "nine ten"), (2, "nine ten")]
+    given = [(1, "x one two three four y"), (2, "five six seven eight"), (3, "a nine ten b five six seven eight"), (4, "clean")]
+    docs, bench = X.documents(spark, given), spark.createDataFrame(items, "item_id bigint, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    bench.coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = Q.op10_decontamination(spark, str(tmp_path))
+    assert rows_of(got.toArrow()) == rows_of(con.sql(Q.ORACLE_SQL["op10_decontamination"]).to_arrow_table())
+    for most in (20_000_000, 60):
+        assert {r.doc_id: r.item_ids for r in DC.find_contamination(docs, bench, max_chars=most).collect()} == {1: [1], 2: [None], 3: [2, None], 4: []}
+        assert [r.doc_id for r in DC.drop_contaminated(docs, bench, max_chars=most).collect()] == [4]
