@@ -21,26 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or where it is unset a folder of the warehouse.
+
+    Only a local master, whose executors are threads of the driver, may use a temporary folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="cueloom-")
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        found = tempfile.mkdtemp(prefix="cueloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """Cuts lineage through a reliable checkpoint in the shared folder.
 
-    Up to eight partitions go into one file where there are more than a few files for
-    each core, as a small table over many shuffle partitions would else become as many
-    tiny files. Partitions are still worked through one by one.
+    Where ``few`` rows come of many partitions, up to eight of these go into one file, as
+    they would else become as many tiny files; partitions are still worked through one by
+    one. Scans of texts keep their tasks.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-    return df.coalesce(files).checkpoint(eager=True)
+    if few:
+        files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+        df = df.coalesce(files)
+    return df.checkpoint(eager=True)
 
 
 def unused(name: str, df: DataFrame) -> str:

@@ -70,7 +70,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
     state: tuple = ()
     while True:
-        edges = cut(_round(edges))
+        edges = cut(_round(edges), few=True)
         before, state = state, _state(edges)
         if not state[0] or before == state:
             break

@@ -2,17 +2,19 @@
 
 Every two nodes that share a bucket are candidates, but they are never all listed:
 
-1. in each bucket the smallest node (the hub) is paired with every other; pairs that
-   sizes and signatures allow make coarse components;
-2. in buckets whose members still lie in several coarse components, these are joined by
-   as few pairs as it takes, of those that sizes and signatures allow;
-3. within each coarse component, dealt over blocks of bounded size, all pairs are
-   compared by products of incidence matrices, and again only as many links are given
-   as it takes to connect what is linked on the full sets.
-
-Two linked nodes that share a bucket and are under the signature distance are in one
-coarse component, and there they are compared; so the final components are those of
-all candidate pairs.
+1. coarse components are made of candidates that sketches or signatures allow. Rows of a
+   bucket are streamed past its leaders: a row close to a leader is taken in by it, others
+   become leaders, and as distances obey the triangle inequality a row that may be similar
+   to one that was taken in is as well found from its leader. Only as many pairs are given
+   as it takes to connect a bucket, and only leaders are held;
+2. each coarse component is dealt over blocks of bounded size, which share a few pivots,
+   and all pairs of a block are compared on their full sets;
+3. what is then still apart from the largest part of its coarse component is compared with
+   all of it, block by block.
+
+Two linked nodes that share a bucket and are under the distance are in one coarse
+component, and there they are compared or already connected; so the final components are
+those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix64
@@ -82,6 +84,7 @@ def word_shingles(text: bytes, size: int, cache: WordHashes | None = None) -> np
 #: Code points of a character shingle.
 SHINGLE_CHARS = 5
 _GAP = b"\0" * 8
+_ODD = np.random.default_rng(5).integers(0, 2**63, SHINGLE_CHARS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _byte_words(data: bytes) -> np.ndarray:
@@ -109,14 +112,16 @@ def _char_runs(data: bytes) -> np.ndarray:
     packed = points[:n].copy()
     for i in range(1, SHINGLE_CHARS):
         packed |= points[i : i + n] << np.uint64(8 * i)
-    # what holds more than ASCII does not fit one word and is mixed code point by code point
-    beyond = np.flatnonzero(points > 127)
-    at = np.unique((beyond[:, None] - np.arange(SHINGLE_CHARS)).ravel())
-    at = at[(at >= 0) & (at < n)]
+    # what holds more than ASCII does not fit one word: a multiply-add hash of its code points
+    mark = np.zeros(n + SHINGLE_CHARS, dtype=bool)
+    beyond = np.flatnonzero(points[:n] > 127)
+    for i in range(SHINGLE_CHARS):
+        mark[(beyond - i)[beyond >= i]] = True
+    at = np.flatnonzero(mark[:n])
     mixed = np.full(len(at), SHINGLE_CHARS, dtype=np.uint64)
     for i in range(SHINGLE_CHARS):
-        mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + points[at + i])
-    packed[at] = mixed
+        mixed += points[at + i] * _ODD[i]
+    packed[at] = mix64(mixed)
     return _scrambled(packed)
 
 
@@ -125,7 +130,8 @@ def byte_shingles(text: bytes) -> np.ndarray:
     if not text:
         return np.empty(0, dtype=np.uint64)
     h = _char_runs(text)
-    return np.unique(h[: max(1, len(h) - SHINGLE_CHARS + 1)])
+    h = np.sort(h[: max(1, len(h) - SHINGLE_CHARS + 1)])
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def byte_signatures(lines: list[bytes], symbols: int) -> np.ndarray:
@@ -311,24 +317,55 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def bucket_links(found: DataFrame, comps: DataFrame, sigs: DataFrame, spec: LinkSpec) -> DataFrame:
     """(a, b): links that sizes and signatures allow, between components that meet in a bucket.
 
-    Of all such pairs of a bucket, only as many are given as it takes to connect it.
+    Of all such pairs of a bucket, only as many are given as it takes to connect it. Rows
+    are streamed past leaders (see the module), which alone are held.
     """
+    most, absorb = spec.max_distance, spec.max_distance // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 1):
-            node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
-            label = rows.column("root").to_numpy().copy()
-            sig = _sig_matrix(rows.column("sig").combine_chunks(), spec.symbols)
+        last, held = None, 0
+        nodes = sizes = roots = radius = np.empty(0, dtype=np.int64)
+        values = np.empty((0, spec.symbols), dtype=np.uint16)
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, root, n = (batch.column(i).to_numpy() for i in range(4))
+            sig = _sig_matrix(batch.column(4), spec.symbols)
             a, b = [], []
-            for k in range(len(node) - 1):
-                rest = np.flatnonzero((label[k + 1 :] != label[k]) & _allowed(n[k], n[k + 1 :], spec)) + k + 1
-                if not len(rest):
+            for k in range(len(key)):
+                if key[k] != last:
+                    last, held, parent = key[k], 0, {}
+                best = most + 1
+                if held:
+                    far = (values[:held] != sig[k]).sum(axis=1)
+                    # sizes tell nothing about what a leader has taken in
+                    near = np.flatnonzero((far <= most + radius[:held]) & (_allowed(sizes[:held], n[k], spec) | (radius[:held] > 0)))
+                    own = find(int(root[k]))
+                    for j in near:
+                        other = find(int(roots[j]))
+                        if other != own:
+                            a.append(int(nodes[j]))
+                            b.append(int(node[k]))
+                            parent[max(own, other)] = own = min(own, other)
+                    if len(near):
+                        at = near[np.argmin(far[near])]
+                        best = far[at]
+                if best <= absorb:
+                    radius[at] = max(radius[at], best)
                     continue
-                near = rest[(sig[rest] != sig[k]).sum(axis=1) <= spec.max_distance]
-                _, first = np.unique(label[near], return_index=True)
-                a += [int(node[k])] * len(first)
-                b += node[near[first]].tolist()
-                label[np.isin(label, label[near])] = label[k]
+                if held == len(nodes):
+                    more = max(64, held)
+                    nodes, sizes, roots, radius = (np.append(x[:held], np.zeros(more, dtype=np.int64)) for x in (nodes, sizes, roots, radius))
+                    values = np.concatenate([values[:held], np.zeros((more, spec.symbols), dtype=np.uint16)])
+                nodes[held], sizes[held], roots[held], radius[held], values[held] = node[k], n[k], root[k], 0, sig[k]
+                held += 1
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -338,6 +375,175 @@ def bucket_links(found: DataFrame, comps: DataFrame, sigs: DataFrame, spec: Link
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
+#: Bits in which the sketches of candidates may differ, and within which a leader takes a row in.
+SKETCH_DISTANCE, SKETCH_ABSORB = 16, 6
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """64 bits of each signature of 48 symbols: their lowest bits, and the next bits of the first 16.
+
+    Sets at a similarity of 0.8 differ in 6 bits on average, and in over 16 with
+    probability 0.0002; sets that share next to nothing differ in 30.
+    """
+    bits = np.concatenate([sig[:, :48] & 1, (sig[:, :16] >> 1) & 1], axis=1).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64).ravel()
+
+
+class _Leaders:
+    """The leaders of one bucket, by sketch: node, sketch, radius and label."""
+
+    def __init__(self) -> None:
+        self.node: list[int] = []
+        self.sketch = np.empty(0, dtype=np.uint64)
+        self.radius = np.empty(0, dtype=np.int64)
+        self.label = np.empty(0, dtype=np.int64)
+
+    def feed(self, node: list[int], sketch: np.ndarray, out: list[tuple]) -> None:
+        """Appends (leader, node, their sketches), one for each part of the bucket that a row may belong to."""
+        for x, s in zip(node, sketch, strict=True):
+            n = len(self.node)
+            if n:
+                far = np.bitwise_count(self.sketch[:n] ^ s).astype(np.int64)
+                near = np.flatnonzero(far <= SKETCH_DISTANCE + self.radius[:n])
+                if len(near):
+                    near = near[np.argsort(far[near], kind="stable")]
+                    labels, first = np.unique(self.label[near], return_index=True)
+                    out += [(self.node[j], x, int(self.sketch[j]), int(s)) for j in near[first]]
+                    if len(labels) > 1:
+                        self.label[:n][np.isin(self.label[:n], labels)] = labels[0]
+                    at = near[0]
+                    if far[at] <= SKETCH_ABSORB:
+                        self.radius[at] = max(self.radius[at], far[at])
+                        continue
+                label = labels[0] if len(near) else n
+            else:
+                label = 0
+            if n == len(self.sketch):
+                self.sketch, self.radius, self.label = (np.append(v, np.zeros(max(8, n), dtype=v.dtype)) for v in (self.sketch, self.radius, self.label))
+            self.node.append(x)
+            self.sketch[n], self.radius[n], self.label[n] = s, 0, label
+
+
+def sketch_links(members: DataFrame) -> DataFrame:
+    """(key, a, b, sketch_a, sketch_b): pairs that connect, in each bucket of ``members(key, node, sketch)``, what sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None  # key, node
+        leaders = _Leaders()  # of the bucket that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, sketch = (batch.column(i).to_numpy() for i in range(3))
+            sketch = sketch.view(np.uint64)  # bits of negative numbers are not counted as such
+            fresh = np.ones(len(key), dtype=bool)  # several tasks may give the same row
+            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            fresh[0] = last != (int(key[0]), int(node[0]))
+            before = None if last is None else last[0]
+            last = int(key[-1]), int(node[-1])
+            key, node, sketch = key[fresh], node[fresh], sketch[fresh]
+            if not len(key):
+                continue
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(begin, len(key)))
+            out: list[tuple] = []
+            keys: list[int] = []
+            ends = {0} if key[0] == before else set()
+            for r in sorted(ends | {len(begin) - 1}):
+                if r not in ends:
+                    leaders = _Leaders()
+                leaders.feed(node[begin[r] :][: size[r]].tolist(), sketch[begin[r] :][: size[r]], out)
+                keys += [key[begin[r]]] * (len(out) - len(keys))
+            # whole buckets: most are of one row, or all like their first
+            whole = np.ones(len(begin), dtype=bool)
+            whole[[*ends, -1]] = False
+            first = np.repeat(begin, size)
+            near = np.bitwise_count(sketch ^ sketch[first]) <= SKETCH_DISTANCE
+            alike = np.logical_and.reduceat(near, begin)
+            rest = np.flatnonzero(np.repeat(whole & alike, size) & (np.arange(len(key)) != first))
+            for r in np.flatnonzero(whole & ~alike & (size > 2)):
+                _Leaders().feed(node[begin[r] :][: size[r]].tolist(), sketch[begin[r] :][: size[r]], out)
+                keys += [key[begin[r]]] * (len(out) - len(keys))
+            if not (len(rest) or out):
+                continue
+            x, y, u, v = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [], [])
+            cols = [
+                np.append(key[rest], np.array(keys, dtype=np.int64)),
+                np.append(node[first[rest]], np.array(x, dtype=np.int64)),
+                np.append(node[rest], np.array(y, dtype=np.int64)),
+                np.append(sketch[first[rest]], np.array(u, dtype=np.uint64)).view(np.int64),
+                np.append(sketch[rest], np.array(v, dtype=np.uint64)).view(np.int64),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "a", "b", "sketch_a", "sketch_b"])
+
+    dealt = members.select("key", "node", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "key long, a long, b long, sketch_a long, sketch_b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, spec: LinkSpec) -> DataFrame:
+    """The ``pairs(a, b)`` that are linked on the full sets of ``texts(node, z)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+
+        def of(node: int, z: bytes) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= 4096:
+                    sets.clear()
+                sets[node] = spec.shingles(spec.unpack(z))
+            return sets[node]
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                rows = whole.slice(at, 1024)
+                ok = pa.array([_linked(of(a, y), of(b, z), spec.percent) for a, y, b, z in zip(*(c.to_pylist() for c in rows.columns), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(ok), rows.column(2).filter(ok)], names=["a", "b"])
+
+    left = texts.select(F.col("node").alias("a"), F.col("z").alias("z_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("z").alias("z_b"))
+    return pairs.join(right, "b").join(left, "a").select("a", "z_a", "b", "z_b").mapInArrow(run, "a long, b long")
+
+
+def cross_pairs(found: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a bucket that sketches allow and that lie in different components.
+
+    ``found`` is what ``sketch_links`` gives. Of a bucket only the rows outside of its
+    commonest component are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        nodes = roots = np.empty(0, dtype=np.int64)
+        held = np.empty(0, dtype=np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, common, node, root, sketch = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            sketch = sketch.view(np.uint64)
+            a, b = [], []
+            for k in range(len(key)):
+                if key[k] != last:
+                    last, n = key[k], 0
+                if n:
+                    near = np.flatnonzero((np.bitwise_count(held[:n] ^ sketch[k]) <= SKETCH_DISTANCE) & (roots[:n] != root[k]))
+                    if len(near):
+                        a.append(np.minimum(nodes[near], node[k]))
+                        b.append(np.maximum(nodes[near], node[k]))
+                if not common[k]:
+                    if n == len(nodes):
+                        nodes, roots, held = (np.append(v, np.zeros(max(64, n), dtype=v.dtype)) for v in (nodes, roots, held))
+                    nodes[n], roots[n], held[n] = node[k], root[k], sketch[k]
+                    n += 1
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    rows = found.select("key", F.col("a").alias("node"), F.col("sketch_a").alias("sketch")).unionByName(found.select("key", F.col("b").alias("node"), F.col("sketch_b").alias("sketch"))).distinct()
+    placed = cut(rows.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node")), few=True)
+    top = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
+    split = placed.join(top.where("parts > 1"), "key").withColumn("common", F.col("root") == F.col("top"))
+    dealt = split.select("key", "common", "node", "root", "sketch").repartition("key").sortWithinPartitions("key", "common", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of ``a`` with all of ``b``."""
     va, vb = np.unique(np.concatenate(a)), np.unique(np.concatenate(b))
@@ -365,62 +571,124 @@ def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def exact_links(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links within one block, or between two, just enough to connect what is linked."""
-    if len(node) <= 4:  # most components are this small, and not worth a matrix
-        within = len(np.unique(block)) == 1
-        own = [(i, j) for i, j in combinations(range(len(node)), 2) if within or block[i] != block[j]]
-        both = {(i, j): len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in own}
-        return [(int(node[i]), int(node[j])) for (i, j), n in both.items() if n and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)]
-    label = np.arange(len(node))
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, sorted, have the similarity."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    met = np.concatenate([x, y])
+    met.sort(kind="stable")  # merges the two sorted runs
+    both = int(np.count_nonzero(met[1:] == met[:-1]))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+#: Rows of a tile of pairs, and pairs of a tile beyond which matrices are multiplied.
+_TILE, _MANY = 512, 2_000
+
+
+def exact_links(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], spec: LinkSpec, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links within one block, or between two, just enough to connect what is linked.
+
+    Pairs that sizes or signatures rule out are not compared; those of one ``label`` are
+    connected already.
+    """
+    label = np.arange(len(node)) if label is None else np.unique(label, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     size = np.array([len(s) for s in sets])
-    blocks = np.unique(block)
-    sides = [np.flatnonzero(block == x) for x in blocks]
-    left, right = (sides[0], sides[0]) if len(sides) == 1 else (sides[0], sides[1])
-    for i in range(0, len(left), 512):
-        for j in range(i if len(sides) == 1 else 0, len(right), 512):
-            x, y = left[i : i + 512], right[j : j + 512]
+    sides = [np.flatnonzero(block == x) for x in np.unique(block)]
+    left, right = sides[0], sides[-1]
+    sig = signatures(sets, spec.symbols) if len(node) > 4 else None
+    for i in range(0, len(left), _TILE):
+        for j in range(i if len(sides) == 1 else 0, len(right), _TILE):
+            x, y = left[i : i + _TILE], right[j : j + _TILE]
             if len(np.unique(label[np.append(x, y)])) == 1:
                 continue
-            both = _shared_counts([sets[k] for k in x], [sets[k] for k in y])
-            linked = (both > 0) & (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both))
-            for k, row in zip(x, linked, strict=True):
-                near = y[row]
-                near = near[label[near] != label[k]]
-                if len(near):
-                    _, first = np.unique(label[near], return_index=True)
-                    out += [(int(node[k]), int(v)) for v in node[near[first]]]
-                    label[np.isin(label, label[near])] = label[k]
+            small, large = np.minimum(size[x][:, None], size[y]), np.maximum(size[x][:, None], size[y])
+            ok = (100 * small >= spec.percent * large) & (small > 0) & (label[x][:, None] != label[y])
+            if sig is not None:
+                far = np.zeros(ok.shape, dtype=np.uint8)
+                for s in range(spec.symbols):
+                    far += sig[x, s][:, None] != sig[y, s]
+                ok &= far <= spec.max_distance
+            sure = ok.sum() > _MANY
+            if sure:
+                both = _shared_counts([sets[k] for k in x], [sets[k] for k in y])
+                ok &= (both > 0) & (100 * both >= spec.percent * (size[x][:, None] + size[y] - both))
+            for k, row in zip(x, ok, strict=True):
+                for v in y[row]:
+                    if label[v] != label[k] and (sure or _linked(sets[k], sets[v], spec.percent)):
+                        out.append((int(node[k]), int(node[v])))
+                        label[label == label[v]] = label[k]
     return out
 
 
 #: Elements of sets, and texts, that a block of a component holds: at least and at most.
 BLOCK_LEAST, BLOCK_MOST, BLOCKS, TEXT_WEIGHT = 60_000, 4_000_000, 16, 200
+#: Nodes of a component, about, that all of its blocks share.
+PIVOTS = 32
 
 
-def confirmed_links(coarse: DataFrame, sigs: DataFrame, texts: DataFrame, spec: LinkSpec) -> DataFrame:
-    """(a, b): links on full sets that connect all linked nodes of each coarse component.
+def _blocks(weight: Column) -> Column:
+    return F.ceil(weight / F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), weight / BLOCKS))).cast("int")
 
-    A component is dealt over blocks of bounded size, and every two blocks meet in a
-    group of their own, so no component has to fit in one task.
+
+def _block_links(rows: DataFrame, spec: LinkSpec) -> DataFrame:
+    """(a, b) from ``rows(root, i, j, node, side, label, z)``: within one side, or between two.
+
+    Of equal labels nothing is compared; null ones are all different.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 3):
-            sets = [spec.shingles(spec.unpack(z)) for z in rows.column("z").to_pylist()]
-            got = exact_links(rows.column("node").to_numpy(), rows.column("block").to_numpy(), sets, spec.percent)
+        for own in _runs(batches, 3):
+            if not own.column("label").null_count and len(np.unique(own.column("side").to_numpy())) == 1:
+                continue
+            sets = [spec.shingles(spec.unpack(z)) for z in own.column("z").to_pylist()]
+            label = None if own.column("label").null_count else own.column("label").to_numpy()
+            got = exact_links(own.column("node").to_numpy(), own.column("side").to_numpy(), sets, spec, label)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
 
-    sized = coarse.join(sigs.select("node", "n"), "node")
-    total = sized.groupBy("root").agg(F.sum(F.col("n") + TEXT_WEIGHT).alias("total"))
-    most = F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), F.col("total") / BLOCKS))
-    blocks = total.select("root", F.ceil(F.col("total") / most).cast("int").alias("blocks"))
-    dealt = sized.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("root", "node", "block", "blocks")
-    met = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "z")
-    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
+    dealt = rows.select("root", "i", "j", "node", "side", "label", "z").repartition("root", "i", "j")
+    return dealt.sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
+
+
+def confirmed_components(coarse: DataFrame, sizes: DataFrame, texts: DataFrame, spec: LinkSpec) -> DataFrame:
+    """(node, root) of all nodes with a link on full sets, of ``coarse(node, root)``.
+
+    ``sizes(node, n)`` weigh the sets, ``texts(node, z)`` are packed texts. A coarse
+    component is dealt over blocks of bounded size, so none has to fit in one task. A text
+    goes to one block; pivots go to all, which connects what blocks have in common. What
+    is then not in the largest part of its coarse component, and only that, is compared
+    with all blocks.
+    """
+    sized = coarse.join(sizes.select("node", "n"), "node").withColumn("weight", F.col("n") + TEXT_WEIGHT)
+    total = sized.groupBy("root").agg(F.sum("weight").alias("total"), F.count("*").alias("nodes"))
+    blocks = total.select("root", _blocks(F.col("total")).alias("blocks"), F.greatest(F.lit(1), F.floor(F.col("nodes") / PIVOTS)).alias("every"))
+    dealt = sized.join(blocks, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("every")) == 0)
+    dealt = cut(dealt.withColumn("pivot", pivot).select("root", "node", "weight", "i", "blocks", "pivot"), few=True)
+    everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("i"))
+    none = F.lit(None).cast("long").alias("label")
+    rows = dealt.join(texts, "node").select("root", F.explode(everywhere).alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"), none, "z")
+    first = connected_components(cut(_block_links(rows, spec), few=True))
+
+    wide = dealt.where("blocks > 1")
+    if wide.isEmpty():
+        return first
+    named = first.withColumnRenamed("root", "label")
+    labelled = wide.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = labelled.groupBy("root", "label").agg(F.sum("weight").alias("weight"))
+    top = parts.groupBy("root").agg(F.max_by("label", F.struct("weight", "label")).alias("top"), (F.sum("weight") - F.max("weight")).alias("left"), F.count("*").alias("parts"))
+    split = top.where("parts > 1").select("root", "top", _blocks(F.col("left")).alias("others"))
+    apart = cut(labelled.join(split, "root"), few=True)
+    if apart.isEmpty():
+        return first
+    # all against those that are not in the largest part
+    one = apart.select("root", "node", "label", "i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"), F.lit(0).alias("side"))
+    other = apart.where("label <> top").select("root", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("others")).cast("int").alias("j"), F.lit(1).alias("side"))
+    more = cut(_block_links(one.unionByName(other).join(texts, "node"), spec), few=True)
+    if more.isEmpty():
+        return first
+    return connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def link_components(found: DataFrame, sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], spec: LinkSpec) -> DataFrame:
@@ -429,10 +697,29 @@ def link_components(found: DataFrame, sigs: DataFrame, texts_of: Callable[[DataF
     ``found(key, hub, node)`` are the checkpointed buckets, ``sigs(node, n, sig)`` sizes
     and signatures, and ``texts_of(nodes)`` returns ``(node, z)``, packed texts, for ``nodes(node)``.
     """
-    near = cut(under_distance(found.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sigs, spec))
+    near = cut(under_distance(found.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sigs, spec), few=True)
     coarse = connected_components(near)
-    more = cut(bucket_links(found, coarse, sigs, spec))
+    more = cut(bucket_links(found, coarse, sigs, spec), few=True)
     if not more.isEmpty():
         coarse = connected_components(coarse.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    texts = texts_of(coarse.select("node"))
-    return connected_components(cut(confirmed_links(coarse, sigs, texts, spec)))
+    return confirmed_components(coarse, sigs, texts_of(coarse.select("node")), spec)
+
+
+#: Bits in which sketches of rows may differ that are compared in blocks.
+SKETCH_CLOSE = 13
+
+
+def sketch_components(found: DataFrame, texts: DataFrame, spec: LinkSpec) -> DataFrame:
+    """(node, root) of all nodes with a link, of what ``sketch_links`` found.
+
+    Close sketches make coarse components, in which all pairs are compared in blocks: a
+    family of any size gives no rows of pairs. The pairs that sketches allow beyond, few
+    and far between, are verified one by one.
+    """
+    close = found.where(F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= SKETCH_CLOSE).select("a", "b")
+    coarse = connected_components(close)
+    within = confirmed_components(coarse, texts.select("node", F.octet_length("z").alias("n")), texts, spec)
+    across = cut(verified(cross_pairs(found, coarse), texts, spec), few=True)
+    if across.isEmpty():
+        return within
+    return connected_components(within.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))

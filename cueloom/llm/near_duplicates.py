@@ -11,7 +11,8 @@ confirmed on the full sets.
 Documents with equal sets are one node from the start, so groups of copies cost nothing.
 Null, empty and blank texts have no shingles and are linked with nothing. Rows that
 repeat a ``doc_id`` each get a row; their texts are nodes of their own, and all rows of
-the smallest id of a component are kept.
+the smallest id of a component are kept. Null ids count as one id, before all others. An
+empty table gives no rows. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices, unused
-from .linking import LinkSpec, WordHashes, buckets, chunk_masks, keys_of, link_components, may_be_member, membership_bitmap, signatures, word_shingles
+from .linking import LinkSpec, WordHashes, buckets, chunk_masks, connected_components, keys_of, link_components, may_be_member, membership_bitmap, signatures, word_shingles
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 80, 5, 30
 
@@ -70,15 +71,26 @@ def _zipped(shared):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, before: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``.
+
+    With ``before(doc_id, text)``, texts that documents had before, there is one row for
+    every distinct set of an id, all rows of an id are in one component, and ids that
+    ``docs`` lacks are left out.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, text_hash long, n long, set_hash binary, sig binary"
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sets = cut(hashed.mapInArrow(_sets(shingle_words), f"doc_id {kind}, text_hash long, n long, set_hash binary, sig binary"))
+    sets = hashed.mapInArrow(_sets(shingle_words), schema)
+    if before is not None:
+        old = before.select(F.col("doc_id").cast(kind), F.xxhash64("text").alias("text_hash"), "text")
+        # rows of sets, not texts, are shuffled to find the ids that are still there
+        sets = sets.unionByName(old.mapInArrow(_sets(shingle_words), schema).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id", "set_hash"])
+        hashed = hashed.unionByName(old)
+    sets = cut(sets)
     full = sets.where("set_hash IS NOT NULL")
-    least = full.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
-    # one row a set: of equal ids with equal sets any text serves
-    nodes = full.join(least, ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
+    # one row a set: the smallest id (null first), and any of its texts; the struct tells it from a missing one
+    nodes = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash", "n", "sig")).alias("first")).select("set_hash", "first.*")
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select("node", "sig").mapInArrow(_index, "key long, node long")
     spec = LinkSpec(partial(word_shingles, size=shingle_words), SYMBOLS, MAX_DISTANCE, percent)
@@ -87,19 +99,42 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         of = nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "text_hash")
         bitmap = docs.sparkSession.sparkContext.broadcast(membership_bitmap(of.select("text_hash")))  # 8 MB
         packed = hashed.where("text IS NOT NULL").mapInArrow(_zipped(bitmap), f"doc_id {kind}, text_hash long, z binary")
-        return packed.join(of, ["doc_id", "text_hash"]).select("node", "z").dropDuplicates(["node"])
+        of = of.withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"})
+        met = packed.join(of, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+        return met.select("node", "z").dropDuplicates(["node"])
 
-    comps = link_components(cut(buckets(members)), nodes.select("node", "n", "sig"), texts_of, spec)
+    comps = link_components(cut(buckets(members), few=True), nodes.select("node", "n", "sig"), texts_of, spec)
     rooted = nodes.select("node", "set_hash", "doc_id").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = rooted.join(first, "root").select("set_hash", "component_id")
+    if before is not None:
+        rooted = _joined_by_id(cut(rooted), sets)
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id")).alias("first"))
+    labels = rooted.join(first, "root").select("set_hash", "first")
     out = sets.select("doc_id", "n", "set_hash").join(labels, "set_hash", "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.coalesce("first", F.struct("doc_id"))["doc_id"]
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_representatives(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, with all their columns."""
+def _joined_by_id(rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rooted(node, set_hash, doc_id, root)`` with the components of one id's several texts as one."""
+    per_id = sets.where("set_hash IS NOT NULL").select("doc_id", "set_hash").join(rooted.select("set_hash", "root"), "set_hash")
+    span = per_id.groupBy("root").agg(F.min(F.struct("doc_id")).alias("lo"), F.max(F.struct("doc_id")).alias("hi"))
+    # a component of one document joins nothing
+    several = per_id.join(span.where("lo <> hi").select("root"), "root", "left_semi")
+    least = several.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("hi")).where("a < hi").drop("hi")
+    pairs = several.join(least, "doc_id").select("a", F.col("root").alias("b"))
+    joined = connected_components(cut(pairs, few=True)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return rooted.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
+
+def keep_representatives(docs: DataFrame, shingle_words: int = 5, percent: int = 80, before: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, with all their columns.
+
+    ``before(doc_id, text)`` are texts that documents had before; documents are then linked
+    by what they hold or by what they held. Ids that ``docs`` lacks are left out.
+    """
     name = unused("__kept", docs)
-    kept = near_duplicates(docs, shingle_words, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    judged = near_duplicates(docs.select("doc_id", "text"), shingle_words, percent, before)
+    # of an id with several texts, one that is kept keeps all rows; one that was not before makes all go
+    verdict = F.max("kept") if before is None else F.min("kept")
+    kept = judged.groupBy(F.col("doc_id").alias(name)).agg(verdict.alias("kept")).where("kept").select(name)
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

@@ -6,18 +6,19 @@ in hash order into randomised groups of ``group_chunks``; each group is packed o
 own, so memory is bounded by the group whatever the longest document or the corpus.
 In a group, full chunks are sequences; the others go, longest first, into the first
 sequence with room, which a tournament tree of remaining capacities finds in
-logarithmic time. Then the emptiest sequences are cut up to fill the room left in the
-others, and the one that remains is cut into lengths that are powers of two, which
-need no padding.
+logarithmic time. Only the emptiest sequence of a group is touched again: it is cut into
+lengths that are powers of two, which need no padding; the others are padded.
 
 Null texts are empty: a document of the closing id alone. Rows that repeat a ``doc_id``
-are documents of their own. An empty table gives no pieces.
+are documents of their own. An empty table gives no pieces. Texts of any length are
+encoded whole, runs of millions of blanks included.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +34,7 @@ from tokenizers import Tokenizer
 from .common import slices
 
 END_ID = 1
+_LONG_BLANKS = re.compile(r"\s{100000}")
 
 
 class BpeIds:
@@ -40,7 +42,8 @@ class BpeIds:
 
     The same vocabulary and merges as ranks are much faster, so those are used; the
     strings of special tokens inside a text stay the single ids that ``tokenizers``
-    reads them as.
+    reads them as. Runs of white space too long for the ranks' pattern, which would run
+    out of stack, are left to ``tokenizers`` as well.
     """
 
     def __init__(self, json_path: str, ranks_path: str) -> None:
@@ -52,9 +55,8 @@ class BpeIds:
         self.json_path = json_path
 
     def encode(self, text: str) -> np.ndarray:
-        for s in self.special:
-            if s in text:
-                return np.array(self._slow().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if any(s in text for s in self.special) or _LONG_BLANKS.search(text):
+            return np.array(self._slow().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.asarray(self.plain.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
 
     @lru_cache(maxsize=1)  # noqa: B019
@@ -103,40 +105,24 @@ def plan_group(lengths: list[int], capacity: int) -> list[list[tuple[int, int, i
     out = [[(k, 0, n)] for k, n in enumerate(lengths) if n == capacity]
     rest = [k for k, n in enumerate(lengths) if n < capacity]
     bins = [[(rest[j], 0, lengths[rest[j]]) for j in b] for b in first_fit_decreasing([lengths[k] for k in rest], capacity)]
-    bins.sort(key=lambda b: -sum(x[2] for x in b))
+    if not bins:
+        return out
     fills = [sum(x[2] for x in b) for b in bins]
-    lo, hi = 0, len(bins) - 1
-    while lo < hi:
-        room = capacity - fills[lo]
-        if not room:
-            lo += 1
-            continue
-        item, start, n = bins[hi].pop()
-        cut = min(n, room)
-        bins[lo].append((item, start, cut))
-        fills[lo] += cut
-        fills[hi] -= cut
-        if cut < n:
-            bins[hi].append((item, start + cut, n - cut))
-        elif not fills[hi]:
-            hi -= 1
-    out += bins[:lo]
-    if lo < len(bins) and fills[lo] == capacity:
-        out.append(bins[lo])
-    elif lo < len(bins) and fills[lo]:
-        queue = bins[lo][::-1]
-        for bit in range(fills[lo].bit_length() - 1, -1, -1):
-            size = fills[lo] & (1 << bit)
-            seq: list[tuple[int, int, int]] = []
-            while size:
-                item, start, n = queue.pop()
-                cut = min(n, size)
-                seq.append((item, start, cut))
-                size -= cut
-                if cut < n:
-                    queue.append((item, start + cut, n - cut))
-            if seq:
-                out.append(seq)
+    last = min(range(len(bins)), key=lambda k: (fills[k], -k))
+    queue, left = bins.pop(last)[::-1], fills[last]
+    out += bins
+    while left:
+        size = 1 << left.bit_length() - 1
+        left -= size
+        seq: list[tuple[int, int, int]] = []
+        while size:
+            item, start, n = queue.pop()
+            cut = min(n, size)
+            seq.append((item, start, cut))
+            size -= cut
+            if cut < n:
+                queue.append((item, start + cut, n - cut))
+        out.append(seq)
     return out
 
 

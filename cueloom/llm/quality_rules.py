@@ -8,8 +8,10 @@ document alike. Bytes rather than words are counted because a corpus in several
 languages has an unbounded vocabulary, while damage (symbols, capitals, tables)
 shows in short byte runs.
 
-Null or empty texts have no words, fail the base rule and score 0.
-Repeated rows count as often as they occur and each gets its own result row.
+Null or empty texts have no words, fail the base rule and score 0. Repeated rows count
+as often as they occur and each gets its own result row; rows with a null id are never
+trusted. An empty table gives no rows; without trusted documents every ratio is 0. Texts of
+any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import cut, mix64, slices
+from .linking import may_be_member, membership_bitmap
 
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(set(range(256)) - set(_SYMBOLS))
@@ -90,21 +94,60 @@ def base_features(text: bytes, p: RuleParams) -> tuple[int, int, int, int, int]:
     return len(words), len(chars), len(text.translate(None, _NOT_SYMBOLS)), dup, n_repeat_words(words, p.window_words)
 
 
-def gram_counts(docs: DataFrame, text: str, trusted: str, p: RuleParams) -> DataFrame:
-    """(bucket, n_raw, n_target) over all rows; each task sends one row a bucket at most."""
+def _gram_counts(docs: DataFrame, p: RuleParams, bitmap: Broadcast | None = None) -> DataFrame:
+    """(bucket, n_raw, n_maybe) over ``docs(id_hash, text)``; each task sends one row a bucket at most.
+
+    ``n_maybe`` counts the rows whose id may be in the bitmap.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << p.bucket_bits
         both = np.zeros((2, size), dtype=np.int64)
         for rows, texts in slices(batches):
-            for of, flag in ((0, False), (1, True)):
-                ids = [bucket_ids(t, p) for t, good in zip(texts, rows.column(0).to_pylist(), strict=True) if t and bool(good) == flag]
+            maybe = np.ones(len(texts), dtype=bool)
+            if bitmap is not None:
+                ids = rows.column(0)
+                maybe = may_be_member(bitmap.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            for of in (0, 1):
+                ids = [bucket_ids(t, p) for t, k in zip(texts, maybe, strict=True) if t and k == bool(of)]
                 if ids:
                     both[of] += np.bincount(np.concatenate(ids), minlength=size)
         at = np.flatnonzero(both.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[:, at].sum(axis=0)), pa.array(both[1, at])], names=["bucket", "n_raw", "n_target"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[:, at].sum(axis=0)), pa.array(both[1, at])], names=["bucket", "n_raw", "n_maybe"])
+
+    return docs.select("id_hash", "text").mapInArrow(count, "bucket long, n_raw long, n_maybe long")
+
 
-    parts = docs.select(F.col(trusted).alias("trusted"), F.col(text).alias("text")).mapInArrow(count, "bucket long, n_raw long, n_target long")
+def _maybe(rows: DataFrame, bitmap: Broadcast) -> DataFrame:
+    """The rows whose first column, a hash, may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(may_be_member(bitmap.value, b.column(0).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def gram_counts(docs: DataFrame, good: DataFrame, p: RuleParams) -> DataFrame:
+    """(bucket, n_raw, n_target) over all ``docs(doc_id, text)``; the target are those of ``good(doc_id)``.
+
+    No text is shuffled to learn whether it is trusted: a bitmap of fixed size tells it
+    but for rare false hits, which are found by their ids and taken off again.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType
+    hashed = lambda df: df.select(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("id_hash"), *df.columns)
+    good = good.select(F.col("doc_id").cast(kind).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    bitmap = spark.sparkContext.broadcast(membership_bitmap(hashed(good).select("id_hash")))  # 8 MB
+    plain = hashed(docs.select("doc_id", "text"))
+    ids = hashed(docs.select("doc_id").where("doc_id IS NOT NULL").distinct())
+    wrong = cut(_maybe(ids, bitmap).join(good.hint("merge"), "doc_id", "left_anti"), few=True)
+    parts = _gram_counts(plain, p, bitmap).withColumnRenamed("n_maybe", "n_target")
+    if not wrong.isEmpty():
+        few = spark.sparkContext.broadcast(membership_bitmap(wrong.select("id_hash")))  # 8 MB
+        untrusted = _maybe(plain.where("id_hash IS NOT NULL"), few).join(wrong.select("doc_id"), "doc_id", "left_semi")
+        parts = parts.unionByName(_gram_counts(untrusted, p).select("bucket", F.lit(0).cast("long").alias("n_raw"), (-F.col("n_raw")).alias("n_target")))
     return parts.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
@@ -146,10 +189,7 @@ def score_rules(docs: DataFrame, weights: np.ndarray, p: RuleParams, doc_id: str
 
 def fit_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> np.ndarray:
     """Weights from all ``docs(doc_id, text)``; those with a label ``quality = 1`` are the trusted target."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
-    # labels grow with the corpus: one plan at every size, not a broadcast while they are few
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
-    return fit_weights(gram_counts(marked, "text", "trusted", p), p)
+    return fit_weights(gram_counts(docs, labels.where("quality = 1").select("doc_id"), p), p)
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:

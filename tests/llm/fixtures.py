@@ -28,7 +28,7 @@ def rows():
 
 def documents(spark, given=None):
     given = rows() if given is None else given
-    return spark.createDataFrame([(i, t, "en" if i % 3 else None, f"src{i % 2}", None if t is None else len(t)) for i, t in given], SCHEMA)
+    return spark.createDataFrame([(i, t, "en" if (i or 0) % 3 else None, f"src{(i or 0) % 2}", None if t is None else len(t)) for i, t in given], SCHEMA)
 
 
 def empty(spark):

@@ -105,7 +105,7 @@ def test_exact_links_in_and_between_blocks():
     for i in range(3):
         for j in range(i, 3):
             at = np.flatnonzero((block == i) | (block == j))
-            links += L.exact_links(node[at], block[at], [sets[k] for k in at], 80)
+            links += L.exact_links(node[at], block[at], [sets[k] for k in at], L.LinkSpec(bytes, 80, 30))
     want = brute({k: s.tolist() for k, s in enumerate(sets)})
     parent = list(range(60))
 
@@ -163,9 +163,8 @@ def test_buckets_over_batches(spark):
     assert got == sorted((k, k, n) for k in range(7) for n in range(k + 7, 70, 7))
 
 
-def byte_runs(line):
-    b = line.encode() if isinstance(line, str) else line
-    return {b[k : k + 8] for k in range(max(1, len(b) - 7))}
+def char_runs(line):
+    return {line[k : k + 5] for k in range(max(1, len(line) - 4))}
 
 
 def expected_lines(given):
@@ -179,7 +178,7 @@ def expected_lines(given):
                 first.setdefault(line, (i, n))
                 first[line] = min(first[line], (i, n))
                 at[i, n] = line
-    root = brute({p: byte_runs(line) for line, p in first.items()})
+    root = brute({p: char_runs(line) for line, p in first.items()})
     return {p: root[first[line]] for p, line in at.items()}
 
 
@@ -218,6 +217,82 @@ def test_representatives(spark):
     assert {3, 200, 201, 203}.issubset(kept) and not {100, 101, 102, 204} & kept
 
 
+def test_sketches_and_leaders(spark):
+    """Leaders connect all rows of a bucket that are under the distance, over batches of any size."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for key in range(40):
+        for _ in range(rng.integers(1, 5)):
+            word = int(rng.integers(-(2**63), 2**63))
+            for _ in range(rng.integers(1, 25)):
+                far = word
+                for bit in rng.choice(63, rng.integers(0, 13), replace=False):
+                    far ^= 1 << int(bit)
+                rows.append((key, len(rows), far))
+    rows += rows[::3]
+    for size in (2, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = L.sketch_links(spark.createDataFrame(rows, "key bigint, node bigint, sketch bigint")).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        parent = list(range(len(rows)))
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in got:
+            parent[find(r.a)] = find(r.b)
+        by = defaultdict(list)
+        for k, n, s in rows:
+            by[k].append((n, s))
+        for own in by.values():
+            for n, s in own:
+                for m, t in own:
+                    if ((s ^ t) & (2**64 - 1)).bit_count() <= L.SKETCH_DISTANCE:
+                        assert find(n) == find(m)
+        assert len(got) < 3 * len(rows) and all(rows[r.a][0] == rows[r.b][0] == r.key and (rows[r.a][2], rows[r.b][2]) == (r.sketch_a, r.sketch_b) for r in got)
+
+
+def test_large_components_over_many_blocks(spark, monkeypatch):
+    """Blocks with pivots, then what is left apart against all: as brute force has it."""
+    monkeypatch.setattr(L, "BLOCK_LEAST", 2_000)
+    monkeypatch.setattr(L, "BLOCK_MOST", 3_000)
+    monkeypatch.setattr(L, "PIVOTS", 3)
+    rng = random.Random(21)
+    texts = {}
+    for family in range(3):
+        base = [f"w{family}x{k}" for k in range(60)]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 5, 6, 9])):
+                words[rng.randrange(len(words))] = f"m{rng.randrange(50)}"
+            texts[len(texts)] = " ".join(words)
+    coarse = spark.createDataFrame([(k, 0) for k in texts], "node bigint, root bigint")
+    sizes = spark.createDataFrame([(k, len(shingles(t, 2))) for k, t in texts.items()], "node bigint, n bigint")
+    packed = spark.createDataFrame([(k, t.encode()) for k, t in texts.items()], "node bigint, z binary")
+    spec = L.LinkSpec(lambda t: L.word_shingles(t, 2), 80, 30, 80, bytes)
+    got = {r.node: r.root for r in L.confirmed_components(coarse, sizes, packed, spec).collect()}
+    want = brute({k: shingles(t, 2) for k, t in texts.items()})
+    assert {k: got.get(k, k) for k in texts} == want and len(set(want.values())) > 20
+
+
+def test_null_ids_and_repeated_ids(spark):
+    """Null ids are one id; of a repeated id with other texts each line is judged by itself."""
+    given = [(None, "one line that two rows of no id have here"), (1, "one line that two rows of no id have here\nand one of its own to keep"), (5, "first text of five"), (5, "other text under the same id\nfirst text of five")]
+    got = [tuple(r) for r in drop_duplicate_lines(X.documents(spark, given)).select("doc_id", "text").collect()]
+    assert sorted(got, key=str) == sorted([given[0], (1, "and one of its own to keep"), given[2], (5, "other text under the same id")], key=str)
+    assert {(r.doc_id, r.line_no): r.kept for r in line_components(X.documents(spark, given[:2])).collect()} == {(None, 0): True, (1, 0): False, (1, 1): True}
+
+
+def test_heavy_lines(spark):
+    given = [(k, f"shared by all of them\n{'abcdefghijklmnopqrstuvwxyz'[k % 26] * 40}{k}") for k in range(1200)]
+    got = line_components(X.documents(spark, given)).where("line_no = 0").collect()
+    assert len(got) == 1200 and sum(r.kept for r in got) == 1 and {r.first_doc_id for r in got} == {0}
+
+
 def test_empty_tables(spark):
     e = X.empty(spark)
     assert near_duplicates(e).count() == 0 and line_components(e).count() == 0
@@ -229,10 +304,6 @@ def test_checkpoint_folder_is_that_of_the_session(spark):
     assert spark.sparkContext.getCheckpointDir()
 
 
-def char_runs(line):
-    return {line[k : k + 5] for k in range(max(1, len(line) - 4))}
-
-
 def test_lines_are_sets_of_five_code_points(spark):
     """Brute force over runs of 5 code points; small edits of short lines and of other scripts link."""
     rng = random.Random(9)
