@@ -8,19 +8,35 @@ from pyspark.sql import functions as F
 #: What a primary language subtag is called.
 NAMES = {
     "en": "English",
-    "pt": "Portuguese",
-    "es": "Spanish",
-    "fr": "French",
+    "zh": "Chinese",
+    "yue": "Cantonese",
     "de": "German",
+    "fr": "French",
+    "es": "Spanish",
+    "pt": "Portuguese",
+    "it": "Italian",
+    "nl": "Dutch",
     "ru": "Russian",
-    "zh": "Chinese",
     "ja": "Japanese",
+    "ko": "Korean",
     "ar": "Arabic",
-    "he": "Hebrew",
-    "fa": "Persian",
+    "hi": "Hindi",
+    "tr": "Turkish",
+    "vi": "Vietnamese",
+    "th": "Thai",
+    "id": "Indonesian",
+    "pl": "Polish",
+    "uk": "Ukrainian",
+    "sv": "Swedish",
 }
 #: Codes of collectors and file systems as the domain names them.
-REMAPPED = {"probe/failed": "probe-failed", "probe/timeout": "probe-timeout", "extract/failed": "audio-extract-failed", "fs/not-found": "source-unreadable", "fs/io": "source-unreadable"}
+REMAPPED = {
+    "collect/source-not-found": "source-unreadable",
+    "fs/check-failed": "source-unreadable",
+    "collect/probe-failed": "probe-failed",
+    "collect/probe-timeout": "probe-failed",
+    "collect/extract-failed": "audio-extract-failed",
+}
 
 
 def _lookup(key: Column, table: dict[str, str], default: Column) -> Column:
@@ -31,12 +47,12 @@ def _lookup(key: Column, table: dict[str, str], default: Column) -> Column:
 
 
 def primary_subtag(tag: Column) -> Column:
-    return F.lower(F.split(tag, "-")[0])
+    return F.lower(F.split(F.trim(tag), "-")[0])
 
 
 def language_name(tag: Column) -> Column:
-    """The name of a tag's language, or the tag itself."""
-    return _lookup(primary_subtag(tag), NAMES, tag)
+    """The name of a tag's language; null, which leaves it to the model, for any other tag."""
+    return _lookup(primary_subtag(tag), NAMES, F.lit(None).cast("string"))
 
 
 def remap_error(code: Column) -> Column:

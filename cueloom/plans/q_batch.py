@@ -100,7 +100,8 @@ def chunk_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return either(primary, translators.make("upper"))(batches).select("conv_id", "win_idx", "ok")
 
 
-_LANGS = ", ".join(f"'{x}'" for x in B.LANGUAGES)
+#: Written out once more, so that a wrong entry of the library's table shows.
+_LANGS = "'und', 'en', 'en-us', 'pt', 'pt-BR', 'es', 'es-419', 'fr', 'de', 'ru', 'zh', 'zh-hans', 'zh-cn', 'zh-tw', 'ja', 'ar', 'he', 'fa'"
 
 
 @query(f"SELECT doc_id, tag, CASE WHEN tag IS NULL OR tag NOT IN ({_LANGS}) THEN 'unsupported-language' END AS error FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN upper(lang) WHEN 1 THEN lang || '-xx' ELSE lang END AS tag FROM documents)")
@@ -174,7 +175,7 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), k.alias("seq"), F.when(k % 17 == 0, "complete").when(k % 19 == 0, "fail").otherwise("advance").alias("action"))
 
 
-_STATES = ", ".join(f"'{s}'" for s in B.JOB_STATES)
+_STATES = "'pending', 'ingesting', 'transcribing', 'translating', 'rendering', 'completed'"
 JOB_SQL = f"""WITH RECURSIVE e AS (SELECT user_id AS job_id, {_ACTION} AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 f AS (SELECT DISTINCT job_id, 0 AS n, 0 AS st, 0 AS refused FROM e UNION ALL
 SELECT f.job_id, e.n, CASE WHEN st >= 5 THEN st WHEN a = 'advance' THEN st + 1 WHEN a = 'complete' THEN 5 ELSE 6 END, refused + CASE WHEN st >= 5 THEN 1 ELSE 0 END FROM f JOIN e ON e.job_id = f.job_id AND e.n = f.n + 1)

@@ -12,11 +12,8 @@ from ..operators import jobs, telemetry
 from . import views as V
 from .views import RAW, query
 
-_LANGS = ", ".join(f"'{x}'" for x in B.LANGUAGES)
-
-
-def _sql_case(key: str, table: dict[str, str], default: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {default} END"
+#: Written out once more, so that a wrong entry of the library's table shows.
+_LANGS = "'und', 'en', 'en-us', 'pt', 'pt-BR', 'es', 'es-419', 'fr', 'de', 'ru', 'zh', 'zh-hans', 'zh-cn', 'zh-tw', 'ja', 'ar', 'he', 'fa'"
 
 
 @query("SELECT page_id, CASE WHEN trim(CASE WHEN page_id % 3 = 0 THEN '  ' ELSE url END) = '' THEN 'invalid-source' END AS error FROM pages")
@@ -53,18 +50,35 @@ def media_assets(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", "kind", B.asset_error(F.col("kind"), F.col("url")).alias("error"), B.ready_error(F.col("kind"), F.col("page_id") % 5 == 0).alias("not_ready"), B.ingress_path(F.col("kind")).alias("path"))
 
 
-_ERRORS = [*L.REMAPPED, "other"]
+#: Written out once more, so that a wrong entry of the library's table shows.
+_REMAP_SQL = """CASE code WHEN 'collect/source-not-found' THEN 'source-unreadable' WHEN 'fs/check-failed' THEN 'source-unreadable'
+ WHEN 'collect/probe-failed' THEN 'probe-failed' WHEN 'collect/probe-timeout' THEN 'probe-failed'
+ WHEN 'collect/extract-failed' THEN 'audio-extract-failed' ELSE code END"""
+_CODES = ["collect/source-not-found", "fs/check-failed", "collect/probe-failed", "collect/probe-timeout", "collect/extract-failed", "probe/failed", "other"]
 
 
-@query(f"SELECT event_id, {_sql_case('code', L.REMAPPED, 'code')} AS code FROM (SELECT event_id, [{', '.join(repr(x) for x in _ERRORS)}][event_id % {len(_ERRORS)} + 1] AS code FROM events)")
+@query(f"SELECT event_id, {_REMAP_SQL} AS code FROM (SELECT event_id, [{', '.join(repr(x) for x in _CODES)}][event_id % 7 + 1] AS code FROM events)")
 def error_remap(spark: SparkSession, sf: str) -> DataFrame:
-    code = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % len(_ERRORS) + 1).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("event_id") % len(_CODES) + 1).cast("int"))
     return V.table(spark, sf, "events").select("event_id", L.remap_error(code).alias("code"))
 
 
-@query(f"SELECT doc_id, {_sql_case('lower(split_part(tag, $$-$$, 1))', L.NAMES, 'tag')} AS name FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'tlh-x' WHEN doc_id % 2 = 0 THEN upper(lang) || '-' || source ELSE lang END AS tag FROM documents)")
+_NAME_SQL = """CASE lower(split_part(trim(tag), '-', 1)) WHEN 'en' THEN 'English' WHEN 'zh' THEN 'Chinese' WHEN 'yue' THEN 'Cantonese'
+ WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' WHEN 'pt' THEN 'Portuguese' WHEN 'it' THEN 'Italian'
+ WHEN 'nl' THEN 'Dutch' WHEN 'ru' THEN 'Russian' WHEN 'ja' THEN 'Japanese' WHEN 'ko' THEN 'Korean' WHEN 'ar' THEN 'Arabic'
+ WHEN 'hi' THEN 'Hindi' WHEN 'tr' THEN 'Turkish' WHEN 'vi' THEN 'Vietnamese' WHEN 'th' THEN 'Thai' WHEN 'id' THEN 'Indonesian'
+ WHEN 'pl' THEN 'Polish' WHEN 'uk' THEN 'Ukrainian' WHEN 'sv' THEN 'Swedish' END"""
+_TAGS = "en zh yue de fr es pt it nl ru ja ko ar hi tr vi th id pl uk sv he fa tlh".split()
+
+
+@query(
+    f"""SELECT doc_id, {_NAME_SQL} AS name FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(t) || '-' || source WHEN doc_id % 3 = 1 THEN ' ' || t ELSE t END AS tag
+ FROM (SELECT doc_id, source, [{', '.join(repr(x) for x in _TAGS)}][doc_id % 24 + 1] AS t FROM documents))"""
+)
 def language_names(spark: SparkSession, sf: str) -> DataFrame:
-    tag = F.when(F.col("doc_id") % 7 == 0, "tlh-x").when(F.col("doc_id") % 2 == 0, F.concat_ws("-", F.upper("lang"), "source")).otherwise(F.col("lang"))
+    """Every tag that has a name and some that have none, bare, with a region and with blanks."""
+    t = F.element_at(F.array(*map(F.lit, _TAGS)), (F.col("doc_id") % len(_TAGS) + 1).cast("int"))
+    tag = F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper(t), F.lit("-"), F.col("source"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), t)).otherwise(t)
     return V.table(spark, sf, "documents").select("doc_id", L.language_name(tag).alias("name"))
 
 
@@ -128,7 +142,10 @@ def sample_slices(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 17, 16).alias("part"), F.lit(2000).alias("offset_ms"))
 
 
-@query(f"SELECT state, {_sql_case('state', B.DESCRIPTIONS, 'NULL')} AS label, {_sql_case('state', dict(zip(B.JOB_STATES, B.JOB_STATES[1:], strict=False)), 'NULL')} AS next, CASE WHEN state IN ('completed', 'failed') THEN 'illegal-transition' END AS error FROM (SELECT unnest([{', '.join(repr(s) for s in B.DESCRIPTIONS)}]) AS state)")
+@query(
+    """SELECT * FROM (VALUES ('pending', 'pending', 'ingesting', NULL), ('ingesting', 'extracting audio', 'transcribing', NULL), ('transcribing', 'transcribing', 'translating', NULL),
+ ('translating', 'translating', 'rendering', NULL), ('rendering', 'rendering subtitles', 'completed', NULL), ('completed', 'completed', NULL, 'illegal-transition'), ('failed', 'failed', NULL, 'illegal-transition')) t(state, label, next, error)"""
+)
 def state_table(spark: SparkSession, sf: str) -> DataFrame:
     states = spark.createDataFrame([(s,) for s in B.DESCRIPTIONS], "state string")
     return states.select("state", B.describe_state(F.col("state")).alias("label"), B.advance_state(F.col("state")).alias("next"), jobs.guard_transition(F.col("state"), *B.JOB_STATES[:-1]).alias("error"))
