@@ -293,25 +293,25 @@ def under_distance(pairs: DataFrame, sigs: DataFrame, spec: LinkSpec) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "sig_a", "n_b", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of each key of sorted batches, the key being the first ``keys`` columns."""
-    held: list[pa.RecordBatch] = []
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The rows of each key of sorted batches as columns, the key being the first ``keys`` columns."""
+    held: list[list] = []
     last: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy() for i in range(keys)]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        cols = [c.to_pylist() for c in batch.columns]
+        own = list(zip(*cols[:keys], strict=True))
         at = 0
-        for end in [*cuts.tolist(), batch.num_rows]:
-            own = tuple(int(c[at]) for c in cols)
-            if held and own != last:
-                yield pa.Table.from_batches(held)
+        for end in [*(k for k in range(1, len(own)) if own[k] != own[k - 1]), len(own)]:
+            if held and own[at] != last:
+                yield held
                 held = []
-            held.append(batch.slice(at, end - at))
-            last, at = own, end
+            part = [c[at:end] for c in cols]
+            held = [x + y for x, y in zip(held, part, strict=True)] if held else part
+            last, at = own[at], end
     if held:
-        yield pa.Table.from_batches(held)
+        yield held
 
 
 def bucket_links(found: DataFrame, comps: DataFrame, sigs: DataFrame, spec: LinkSpec) -> DataFrame:
@@ -591,6 +591,10 @@ def exact_links(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], spe
     Pairs that sizes or signatures rule out are not compared; those of one ``label`` are
     connected already.
     """
+    if len(node) <= 4 and label is None:  # most components are this small
+        within = block[0] == block[-1] and (block == block[0]).all()
+        own = [(i, j) for i, j in combinations(range(len(node)), 2) if within or block[i] != block[j]]
+        return [(int(node[i]), int(node[j])) for i, j in own if _linked(sets[i], sets[j], spec.percent)]
     label = np.arange(len(node)) if label is None else np.unique(label, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     size = np.array([len(s) for s in sets])
@@ -638,12 +642,12 @@ def _block_links(rows: DataFrame, spec: LinkSpec) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _runs(batches, 3):
-            if not own.column("label").null_count and len(np.unique(own.column("side").to_numpy())) == 1:
+        for _, _, _, node, side, label, packed in _runs(batches, 3):
+            known = None if None in label else np.array(label)
+            if len(node) == 1 or known is not None and len(set(side)) == 1:
                 continue
-            sets = [spec.shingles(spec.unpack(z)) for z in own.column("z").to_pylist()]
-            label = None if own.column("label").null_count else own.column("label").to_numpy()
-            got = exact_links(own.column("node").to_numpy(), own.column("side").to_numpy(), sets, spec, label)
+            sets = [spec.shingles(spec.unpack(z)) for z in packed]
+            got = exact_links(np.array(node), np.array(side), sets, spec, known)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
 
@@ -717,7 +721,7 @@ def sketch_components(found: DataFrame, texts: DataFrame, spec: LinkSpec) -> Dat
     and far between, are verified one by one.
     """
     close = found.where(F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= SKETCH_CLOSE).select("a", "b")
-    coarse = connected_components(close)
+    coarse = connected_components(close.distinct())
     within = confirmed_components(coarse, texts.select("node", F.octet_length("z").alias("n")), texts, spec)
     across = cut(verified(cross_pairs(found, coarse), texts, spec), few=True)
     if across.isEmpty():
