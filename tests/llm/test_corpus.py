@@ -322,3 +322,24 @@ def test_items_without_an_id_hit(spark, tmp_path):
     for most in (20_000_000, 60):
         assert {r.doc_id: r.item_ids for r in DC.find_contamination(docs, bench, max_chars=most).collect()} == {1: [1], 2: [None], 3: [2, None], 4: []}
         assert [r.doc_id for r in DC.drop_contaminated(docs, bench, max_chars=most).collect()] == [4]
+
+
+def test_very_long_blanks_are_encoded(spark):
+    """Runs of white space beyond the stack of the ranks' pattern give the ids of the tokenizer itself."""
+    enc = PK.BpeIds(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("x" + " " * 1_000_000 + "y", "\n" * 1_000_000, " " * 99_999 + "x"):
+        assert enc.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    got = PK.pack_documents(X.documents(spark, [(1, "x" + " " * 1_000_000 + "y"), (2, "short")])).collect()
+    assert {r.doc_id for r in got} == {1, 2}
+
+
+def test_only_the_emptiest_sequence_is_cut():
+    rng = random.Random(4)
+    lengths = [min(2047, 1 + int(rng.expovariate(1 / 400))) for _ in range(2000)]  # as documents are: many short ones
+    plan = PK.plan_group(lengths, 2048)
+    fills = [sum(n for _, _, n in seq) for seq in plan]
+    pieces = sum(len(seq) for seq in plan)
+    padding = sum(2048 - f for f in fills if f & (f - 1))
+    assert sum(fills) == sum(lengths) and max(fills) <= 2048
+    assert pieces <= len(lengths) + len(plan) and padding < 0.005 * sum(lengths)
