@@ -14,7 +14,7 @@ from cueloom.llm import html_extraction as HX
 from cueloom.llm import packing as PK
 from cueloom.llm import queries as Q
 from cueloom.llm.html_dom import blocks, parse
-from cueloom.llm.quotation import link_quotations
+from cueloom.llm.quotation import link_quotations, read_messages, reply_links
 from tests.llm import fixtures as X
 from tests.oracle import assert_same, connect, rows_of
 
@@ -242,7 +242,7 @@ def test_quotations(spark):
 
 def test_quotations_equal_sql(spark, tmp_path):
     rng = random.Random(7)
-    lines = ["alpha beta", "gamma", "delta  epsilon", "Zeta"]
+    lines = ["alpha beta", "gamma", "delta  epsilon", "Zeta", " \t", "a > b", "ta\t\tb\r", "x \r"]
     rows = list(TALK[:6] + TALK[7:10])
     for c in range(10, 16):
         for t in range(12):
@@ -257,8 +257,10 @@ def test_quotations_equal_sql(spark, tmp_path):
 
 
 def test_quotations_run_without_python(spark, sf):
-    plan = link_quotations(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    messages = spark.read.parquet(f"{sf}/conversations.parquet")
+    # the result's own plan begins at a checkpoint, so what ran before is looked at too
+    for df in (read_messages(messages), reply_links(read_messages(messages)), link_quotations(messages)):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
 
 
 def test_every_layout_of_a_hot_host_has_its_wrapper(spark):
