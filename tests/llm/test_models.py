@@ -162,7 +162,7 @@ def test_classifier_edges(spark, run):
 
 
 def test_forward_sums_all_segmentations():
-    p = LI.LanguageParams(max_piece=4)
+    p = LI.LanguageParams()
     names = {"▁": 2, "▁a": 3, "a": 4, "ab": 5, "b": 6, "bab": 7, "▁ab": 8}
     pieces = LI.Pieces(names)
     probs = np.array([0, p.unknown, 0.1, 0.2, 0.15, 0.05, 0.3, 0.02, 0.18])[:, None]
@@ -173,12 +173,99 @@ def test_forward_sums_all_segmentations():
             for cuts in combinations(range(1, len(text)), k):
                 parts = [text[a:b] for a, b in zip((0, *cuts), (*cuts, len(text)), strict=True)]
                 total += math.prod(probs[names.get(x, LI._UNKNOWN if len(x) == 1 else 0), 0] for x in parts)
-        n, cells = LI._lattice([word, word], pieces, p)
+        n, cells = LI._lattice([word, word], pieces)
         assert np.allclose(LI.forward(n, cells, probs)[n], total, rtol=1e-9)
+        assert np.allclose(LI.log_forward(word, probs, pieces), math.log(total), rtol=1e-9)
     counts = LI.expected_counts(["ab"], np.array([3.0]), pieces, p)
     assert counts[0] == 0 and 3 <= counts.sum() <= 9
 
 
+def _brute_log(word, names, longest, logp):
+    """Log of the sum over all segmentations, in logs throughout."""
+    text = "▁" + word
+    alpha = [0.0]
+    for e in range(1, len(text) + 1):
+        terms = []
+        for k in range(max(0, e - longest), e):
+            piece = names.get(text[k:e], LI._UNKNOWN if e - k == 1 else None)
+            if piece is not None:
+                terms.append(alpha[k] + logp[piece])
+        top = max(terms)
+        alpha.append(top + math.log(sum(math.exp(x - top) for x in terms)))
+    return alpha[-1]
+
+
+def _brute_counts(word, names, longest, logp):
+    """Expected pieces by all forward and backward sums, in logs."""
+    text = "▁" + word
+    n, add = len(text), lambda xs: (t := max(xs)) + math.log(sum(math.exp(x - t) for x in xs))
+    cells = {(k, e): c for k in range(n) for e in range(k + 1, min(n, k + longest) + 1) if (c := names.get(text[k:e], LI._UNKNOWN if e - k == 1 else None)) is not None}
+    fore, back = [0.0] + [None] * n, [None] * n + [0.0]
+    for e in range(1, n + 1):
+        fore[e] = add([fore[k] + logp[c] for (k, x), c in cells.items() if x == e])
+    for k in range(n - 1, -1, -1):
+        back[k] = add([back[e] + logp[c] for (x, e), c in cells.items() if x == k])
+    out = Counter()
+    for (k, e), c in cells.items():
+        out[c] += math.exp(fore[k] + logp[c] + back[e] - fore[n])
+    return out
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    """Every prediction and score, with words far over the batched length, against sums in logs."""
+    monkeypatch.setattr(LI, "_BLOCK", 50)  # for the direct calls below
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    names, p = LI.pieces_of(vocabulary), LI.LanguageParams()
+    longest = max(map(len, names))
+    assert longest > 10
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 12)))
+    speech = {"en": "thearnsiowd", "de": "eninschrtuäß", "xx": "ภาษไทยคน"}
+    rows = []
+    for i in range(60):
+        lang = list(speech)[i % 3]
+        ws = [word(speech[lang]) for _ in range(rng.randint(1, 9))]
+        if i % 4 == 0:
+            ws.append("".join(ws) * 9)  # one long run
+        rows.append((i, " ".join(ws), lang if i % 7 else None))
+    rows += [(70, "中" * 300 + " information " * 3, None), (71, "information" * 40, None), (72, "", "en"), (73, None, "en"), (0, "information government", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in LI.identify_language(df).collect())
+    langs = sorted({x for i, t, x in rows if x and t is not None and fold(i, 3) != 1})
+    size = len(names) + 2
+    flat = [-math.inf, math.log(p.unknown)] + [-math.log(size)] * len(names)
+    counts = {x: Counter() for x in langs}
+    for i, t, x in rows:
+        if x and t and fold(i, 3) != 1:
+            for w in LI.words_of(t):
+                counts[x].update(_brute_counts(w, names, longest, flat))
+    logp = {}
+    for x, c in counts.items():
+        c[LI._UNKNOWN] = 0
+        for k in c:
+            c[k] = round(c[k], 6)  # as the model's counts are, whatever the order of their sum
+        whole = sum(c.values())
+        logp[x] = [-math.inf, math.log(p.unknown)] + [math.log((c[k] + p.smoothing) / (whole + p.smoothing * size)) for k in range(2, size)]
+    want = []
+    for i, t, _ in rows:
+        ws = LI.words_of(t or "")
+        if not ws:
+            want.append((i, "und", 0.0))
+            continue
+        s = [sum(_brute_log(w, names, longest, logp[x]) for w in ws) for x in langs]
+        want.append((i, langs[int(np.argmax(s))], 1 / sum(math.exp(v - max(s)) for v in s)))
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-6
+    # blocks of a long word meet without a seam
+    pieces, one = LI.Pieces(names), "information" * 20
+    out = np.zeros(pieces.size)
+    LI._expected_of_long(one, 2.0, pieces, np.exp(np.array(flat))[:, None], out)
+    brute = _brute_counts(one, names, longest, flat)
+    assert np.allclose(out, [2 * brute[k] for k in range(pieces.size)], atol=1e-9)
+    probs = np.exp(np.array(flat))[:, None]
+    assert np.allclose(LI.log_forward(one, probs, pieces), _brute_log(one, names, longest, flat))
+
+
 def test_language_of_test_documents(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = LI.identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
@@ -197,9 +284,9 @@ def test_language_edges(spark):
 
 
 def test_words():
-    p = LI.LanguageParams(max_word=5)
-    assert LI.words_of("Été-1a²b_C abcdefg", p) == ["été", "a", "b", "c", "abcde", "fg"]
-    assert LI.pieces_of(public_tokenizers.path("piece_bpe_32k.model"), LI.LanguageParams())["▁the"] > 1
+    assert LI.words_of("Été-1a²b_C abcdefg " + "x" * 99) == ["été", "a", "b", "c", "abcdefg", "x" * 99]
+    pieces = LI.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    assert pieces["▁the"] > 1 and pieces["▁information"] > 1
 
 
 def test_slices_keep_every_row():
