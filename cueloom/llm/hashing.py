@@ -69,3 +69,32 @@ def presence_features(text: str, cache: TokenHashes, bits: int, prefixes: tuple[
     for n in prefixes:
         grams += {f"{w[:n]}\x00{n}" for w in words if len(w) > n}
     return np.unique((mix64(cache.of(grams)) >> np.uint64(64 - bits)).astype(np.int64))
+
+
+class WantedFeatures(dict):
+    """The wanted features among those of a token, as ``presence_features`` has them, kept for reuse."""
+
+    def __init__(self, wanted: np.ndarray, prefixes: tuple[int, ...], limit: int = 400_000) -> None:
+        """``wanted`` is a mask of ``2**bits`` features."""
+        super().__init__()
+        self.wanted, self.prefixes, self.limit = wanted, prefixes, limit
+        self.shift = np.uint64(64 - (len(wanted).bit_length() - 1))
+        self.marks = [self._among([m]) for m in LENGTH_MARKS]
+
+    def _among(self, grams: list[str]) -> tuple[int, ...]:
+        h = np.array([xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams], dtype=np.uint64)
+        at = (mix64(h) >> self.shift).astype(np.int64)
+        return tuple(at[self.wanted[at]].tolist())
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        self[token] = found = self._among([token, *(f"{token[:n]}\x00{n}" for n in self.prefixes if len(token) > n)])
+        return found
+
+    def of(self, text: str) -> list[int]:
+        """Sorted wanted features of a text."""
+        words = set(tokens_of(text))
+        if not words:
+            return []
+        return sorted(set().union(*map(self.__getitem__, words), *self.marks[: len(words).bit_length()]))

@@ -1,19 +1,22 @@
 """Toxicity: non-negative positive-unlabelled learning of a linear numpy classifier.
 
-Confirmed toxic examples (P) and unlabelled text (U) are drawn as bounded samples
-(``max_positive``, ``max_unlabelled``: the rows with the smallest hash of their id). The
-class prior ``pi`` is the toxic share of the labelled rows that may be learnt from.
-Minimised is the non-negative risk estimate
+Confirmed toxic examples (P) and unlabelled texts (U) for the gradients are bounded samples
+of labelled rows (``max_positive``, ``max_unlabelled``: the rows with the smallest hash of
+their id); those of U are taken whatever their label, which is not read. The class prior
+``pi`` is the toxic share of the labelled rows that may be learnt from. Minimised is the
+non-negative risk estimate
 
     pi * R_P(+)  +  max(0, R_U(-) - pi * R_P(-))
 
 with logistic loss; where the second term would fall below zero, its gradient is
 followed upwards instead, which stops the classifier from declaring the positives
-hidden in U negative. Features are hashed words and word prefixes, of which the
-``n_features`` that set P most apart from U are kept, beside marks of the length.
+hidden in U negative. Features are hashed words and word prefixes, beside marks of the
+length. Those that at least ``min_positive`` texts of P have are counted over all documents
+that may be learnt from, and the model has the ``n_features`` of them that set P most apart.
 
 Null and empty texts score the bias. Without positives, or without unlabelled rows,
-every text scores the prior.
+every text scores the prior. Repeated rows each count and score; an empty table gives no
+rows; equal ranks go by the feature's number; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, mix64, slices
-from .hashing import LENGTH_MARKS, TokenHashes, presence_features
+from .hashing import LENGTH_MARKS, TokenHashes, WantedFeatures, presence_features
 
 
 @dataclass(frozen=True)
@@ -50,13 +53,15 @@ class PuModel:
     bias: float
 
 
-def select_features(pos: list[np.ndarray], unl: list[np.ndarray], p: NnpuParams) -> np.ndarray:
-    """Features commoner in P than in U, by signed log-likelihood ratio, largest first."""
-    size = 1 << p.bits
-    a = np.bincount(np.concatenate(pos), minlength=size).astype(np.float64)
-    b = np.bincount(np.concatenate(unl), minlength=size).astype(np.float64)
+def positive_counts(pos: list[np.ndarray], p: NnpuParams) -> np.ndarray:
+    """The number of texts of P that have each feature."""
+    return np.bincount(np.concatenate(pos), minlength=1 << p.bits) if pos else np.zeros(1 << p.bits, dtype=np.int64)
+
+
+def select_features(a: np.ndarray, na: int, b: np.ndarray, nb: int, p: NnpuParams) -> np.ndarray:
+    """Features commoner in P (``a`` of ``na`` texts) than in U, by signed log-likelihood ratio, largest first."""
     at = np.flatnonzero(a >= p.min_positive)
-    a, b, na, nb = a[at], b[at], len(pos), len(unl)
+    a, b = a[at].astype(np.float64), b[at].astype(np.float64)
     ra, rb, r = a / na, (b + 0.5) / (nb + 1), (a + b) / (na + nb)
     g = a * np.log(ra / r) + b * np.log(np.maximum(b, 1e-9) / nb / r)
     keep = ra > 1.5 * rb
@@ -74,16 +79,15 @@ def _matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     return out
 
 
-def nnpu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, p: NnpuParams) -> PuModel:
-    """Adam on the non-negative risk, in fixed pseudo-random batches."""
+def nnpu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, p: NnpuParams, chosen: np.ndarray | None = None) -> PuModel:
+    """Adam on the non-negative risk, in fixed pseudo-random batches. Without ``chosen`` features, U tells them."""
     full = np.zeros(1 << p.bits, dtype=np.float32)
     prior = float(np.clip(prior, 0.005, 0.95))
     flat = PuModel(full, float(np.log(prior / (1 - prior))))
     if not pos or not unl or not sum(map(len, pos)) or not sum(map(len, unl)):
         return flat
-    chosen = select_features(pos, unl, p)
-    if not len(chosen):
-        return flat
+    if chosen is None:
+        chosen = select_features(positive_counts(pos, p), len(pos), positive_counts(unl, p), len(unl), p)
     xp, xu = _matrix(pos, chosen), _matrix(unl, chosen)
     w, b = np.zeros(len(chosen)), flat.bias
     m, v, t = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0
@@ -115,33 +119,64 @@ def nnpu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, p: Nnpu
     return PuModel(full, float(b))
 
 
-def _featurise(p: NnpuParams):
+def _featurise(p: NnpuParams, wanted=None):
+    """A text's features, or those of them that the broadcast mask ``wanted`` has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenHashes()
-        for rows, texts in slices(batches):
-            feats = [presence_features((t or b"").decode(), cache, p.bits, p.prefixes).astype(np.int32).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(feats, pa.binary())], names=["positive", "idx"])
+        if wanted is None:
+            cache = TokenHashes()
+            of = lambda t: presence_features(t, cache, p.bits, p.prefixes)
+        else:
+            of = WantedFeatures(wanted.value, p.prefixes).of
+        for _, texts in slices(batches, 0):
+            feats = [np.asarray(of((t or b"").decode()), dtype=np.int32).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(feats, pa.binary())], names=["idx"])
 
     return run
 
 
+def _feature_rows(docs: DataFrame, ids: DataFrame, p: NnpuParams, wanted=None) -> list[np.ndarray]:
+    """Features of the documents of ``ids``, which are few enough to be broadcast, in a fixed order."""
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_featurise(p, wanted), "idx binary").toArrow()
+    return [np.frombuffer(f, dtype=np.int32) for f in sorted(got.column("idx").to_pylist())]
+
+
+def document_counts(docs: DataFrame, wanted: np.ndarray, p: NnpuParams) -> tuple[np.ndarray, int]:
+    """The number of texts of ``docs(text)`` that have each wanted feature, and of all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # 2**bits bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, counts, n = WantedFeatures(shared.value, p.prefixes), np.zeros(len(shared.value), dtype=np.int64), 0
+        for _, texts in slices(batches, 0):
+            n += len(texts)
+            for t in texts:
+                counts[cache.of((t or b"").decode())] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), pa.array(np.append(n, counts[at]))], names=["feature", "n"])
+
+    got = docs.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = got.column("feature").to_numpy(), got.column("n").to_numpy()
+    out = np.zeros(len(wanted), dtype=np.int64)
+    out[feature[feature >= 0]] = n[feature >= 0]
+    return out, int(n[feature < 0].sum())
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", p: NnpuParams = NnpuParams(), learn: Column | None = None) -> PuModel:
-    """Learns from rows that satisfy ``learn``; rows not labelled 1 are unlabelled text."""
+    """Learns from rows that satisfy ``learn``; every labelled row may be unlabelled text as well, its label unread."""
     learn = F.lit(True) if learn is None else learn
     one = labels.where(learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    first = lambda ids, n: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    first = lambda ids, n: ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     prior = one.agg(F.avg("y")).first()[0] or 0.0
-    pos = first(one.where("y = 1").select("doc_id"), p.max_positive).withColumn("positive", F.lit(True))
-    # unlabelled: any row that may be learnt from, its label unread
-    unl = first(docs.where(learn).select("doc_id").distinct(), p.max_unlabelled).withColumn("positive", F.lit(False))
-    ids = pos.unionByName(unl)  # max_positive + max_unlabelled rows at most, so it may be broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("positive", "text")
-    got = sample.mapInArrow(_featurise(p), "positive boolean, idx binary").toArrow()
-    both: dict[bool, list[bytes]] = {True: [], False: []}
-    for y, f in zip(got.column("positive").to_pylist(), got.column("idx").to_pylist(), strict=True):
-        both[y].append(f)
-    as_rows = lambda y: [np.frombuffer(f, dtype=np.int32) for f in sorted(both[y])]
-    return nnpu_fit(as_rows(True), as_rows(False), prior, p)
+    pos = _feature_rows(docs, first(one.where("y = 1"), p.max_positive), p)
+    a = positive_counts(pos, p)
+    if not a.any():
+        return nnpu_fit([], [], prior, p)
+    b, nb = document_counts(docs.where(learn), a >= p.min_positive, p)
+    chosen = select_features(a, len(pos), b, nb, p)
+    mask = np.zeros(1 << p.bits, dtype=bool)
+    mask[chosen] = True
+    unl = _feature_rows(docs, first(one, p.max_unlabelled), p, docs.sparkSession.sparkContext.broadcast(mask))
+    return nnpu_fit(pos, unl, prior, p, chosen)
 
 
 def score_toxicity(docs: DataFrame, model: PuModel, p: NnpuParams = NnpuParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,9 +184,10 @@ def score_toxicity(docs: DataFrame, model: PuModel, p: NnpuParams = NnpuParams()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, TokenHashes()
+        m = shared.value
+        cache = WantedFeatures(m.weights != 0, p.prefixes)
         for rows, texts in slices(batches):
-            s = np.array([m.bias + float(m.weights[presence_features((t or b"").decode(), cache, p.bits, p.prefixes)].sum(dtype=np.float64)) for t in texts])
+            s = np.array([m.bias + float(m.weights[cache.of((t or b"").decode())].sum(dtype=np.float64)) for t in texts])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")

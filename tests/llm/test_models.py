@@ -13,7 +13,7 @@ from cueloom.llm import quality_rules as QR
 from cueloom.llm.common import slices
 from cueloom.llm.hashing import TokenHashes, ngram_features, presence_features
 from cueloom.llm.quality_classifier import FtrlParams, classify_quality, ftrl_fit
-from cueloom.llm.toxicity import NnpuParams, classify_toxicity, nnpu_fit
+from cueloom.llm.toxicity import NnpuParams, PuModel, classify_toxicity, document_counts, nnpu_fit, score_toxicity
 from tests.llm import fixtures as X
 
 
@@ -131,6 +131,24 @@ def test_nnpu_finds_positives_hidden_in_unlabelled_text():
     assert not nnpu_fit([], unl, 0.2, NnpuParams(bits=10)).weights.any()
 
 
+def test_toxicity_equals_brute_force(spark, sf):
+    """Counts over all documents, and every score, from each text's whole list of features."""
+    docs, p = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), NnpuParams(n_features=300)
+    docs = docs.unionByName(X.documents(spark).select("doc_id", "text"))
+    feats = [(r.doc_id, presence_features(r.text or "", TokenHashes(), p.bits, p.prefixes)) for r in docs.collect()]
+    rng = np.random.default_rng(2)
+    wanted = rng.random(1 << p.bits) < 0.3
+    counts, n = document_counts(docs, wanted, p)
+    brute = np.zeros(1 << p.bits, dtype=np.int64)
+    for _, f in feats:
+        brute[f] += 1
+    assert n == len(feats) and (counts == brute * wanted).all()
+    model = PuModel(np.where(wanted, rng.normal(size=1 << p.bits), 0).astype(np.float32), -1.0)
+    score = lambda f: 1 / (1 + math.exp(-float(np.clip(-1.0 + model.weights[f].astype(np.float64).sum(), -35, 35))))
+    got = sorted((r.doc_id, r.score) for r in score_toxicity(docs, model, p).collect())
+    assert np.allclose([s for _, s in got], [s for _, s in sorted((i, score(f)) for i, f in feats)], atol=1e-9)
+
+
 @pytest.mark.parametrize(("name", "run", "least"), [("quality", classify_quality, 0.97), ("toxic", classify_toxicity, 0.9)])
 def test_held_out_area(spark, name, run, least):
     import os
