@@ -79,22 +79,28 @@ class WantedFeatures(dict):
         super().__init__()
         self.wanted, self.prefixes, self.limit = wanted, prefixes, limit
         self.shift = np.uint64(64 - (len(wanted).bit_length() - 1))
-        self.marks = [self._among([m]) for m in LENGTH_MARKS]
-
-    def _among(self, grams: list[str]) -> tuple[int, ...]:
-        h = np.array([xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams], dtype=np.uint64)
+        marks = mix64(np.array([xxhash.xxh3_64_intdigest(m) for m in LENGTH_MARKS], dtype=np.uint64)) >> self.shift
+        self.marks = [(int(f),) if wanted[f] else () for f in marks.astype(np.int64)]
+
+    def learn(self, tokens: list[str]) -> None:
+        """Finds the wanted features of many tokens at once; most have none."""
+        parts, owners = [tokens], [np.arange(len(tokens))]
+        for n in self.prefixes:
+            longer = [k for k, w in enumerate(tokens) if len(w) > n]
+            parts.append([f"{tokens[k][:n]}\x00{n}" for k in longer])
+            owners.append(np.array(longer, dtype=np.int64))
+        grams = [g for part in parts for g in part]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), dtype=np.uint64, count=len(grams))
         at = (mix64(h) >> self.shift).astype(np.int64)
-        return tuple(at[self.wanted[at]].tolist())
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) >= self.limit:
+        hit = self.wanted[at]
+        self.update(dict.fromkeys(tokens, ()))
+        for k, f in zip(np.concatenate(owners)[hit].tolist(), at[hit].tolist(), strict=True):
+            self[tokens[k]] += (f,)
+
+    def of(self, texts: list[bytes | None]) -> list[list[int]]:
+        """Sorted wanted features of each text; memory is that of the texts' tokens and the kept ones."""
+        words = [set(tokens_of((t or b"").decode())) for t in texts]
+        if len(self) > self.limit:
             self.clear()
-        self[token] = found = self._among([token, *(f"{token[:n]}\x00{n}" for n in self.prefixes if len(token) > n)])
-        return found
-
-    def of(self, text: str) -> list[int]:
-        """Sorted wanted features of a text."""
-        words = set(tokens_of(text))
-        if not words:
-            return []
-        return sorted(set().union(*map(self.__getitem__, words), *self.marks[: len(words).bit_length()]))
+        self.learn(list(set().union(*words).difference(self)))
+        return [sorted(set().union(*map(self.__getitem__, ws), *self.marks[: len(ws).bit_length()])) for ws in words]

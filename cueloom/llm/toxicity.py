@@ -125,11 +125,11 @@ def _featurise(p: NnpuParams, wanted=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if wanted is None:
             cache = TokenHashes()
-            of = lambda t: presence_features(t, cache, p.bits, p.prefixes)
+            of = lambda texts: [presence_features((t or b"").decode(), cache, p.bits, p.prefixes) for t in texts]
         else:
             of = WantedFeatures(wanted.value, p.prefixes).of
         for _, texts in slices(batches, 0):
-            feats = [np.asarray(of((t or b"").decode()), dtype=np.int32).tobytes() for t in texts]
+            feats = [np.asarray(f, dtype=np.int32).tobytes() for f in of(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(feats, pa.binary())], names=["idx"])
 
     return run
@@ -149,8 +149,8 @@ def document_counts(docs: DataFrame, wanted: np.ndarray, p: NnpuParams) -> tuple
         cache, counts, n = WantedFeatures(shared.value, p.prefixes), np.zeros(len(shared.value), dtype=np.int64), 0
         for _, texts in slices(batches, 0):
             n += len(texts)
-            for t in texts:
-                counts[cache.of((t or b"").decode())] += 1
+            for found in cache.of(texts):
+                counts[found] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), pa.array(np.append(n, counts[at]))], names=["feature", "n"])
 
@@ -187,7 +187,7 @@ def score_toxicity(docs: DataFrame, model: PuModel, p: NnpuParams = NnpuParams()
         m = shared.value
         cache = WantedFeatures(m.weights != 0, p.prefixes)
         for rows, texts in slices(batches):
-            s = np.array([m.bias + float(m.weights[cache.of((t or b"").decode())].sum(dtype=np.float64)) for t in texts])
+            s = np.array([m.bias + float(m.weights[found].sum(dtype=np.float64)) for found in cache.of(texts)])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")
