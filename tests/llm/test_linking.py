@@ -256,6 +256,51 @@ def test_sketches_and_leaders(spark):
         assert len(got) < 3 * len(rows) and all(rows[r.a][0] == rows[r.b][0] == r.key and (rows[r.a][2], rows[r.b][2]) == (r.sketch_a, r.sketch_b) for r in got)
 
 
+def test_packed_cells(spark, monkeypatch):
+    """Bucket rows travel packed, 20 bytes each, and a cell too large to hold gives the same links by its leaders."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for key in rng.integers(-(2**63), 2**63 - 1, 60).tolist():
+        for _ in range(rng.integers(1, 4)):
+            word = int(rng.integers(-(2**63), 2**63 - 1))
+            for spread in rng.integers(0, 13, rng.integers(1, 9)):
+                far = word
+                for bit in rng.choice(63, spread, replace=False):
+                    far ^= 1 << int(bit)
+                rows.append((key, len(rows), far))
+    keys, nodes, words = (np.array(x) for x in zip(*rows, strict=True))
+    monkeypatch.setattr(L, "PACK_ROWS", 100)
+    packed = list(L.packed_cells([(keys[:170], nodes[:170], words[:170]), (keys[170:], nodes[170:], words[170:])], 4096))
+    assert len(packed) > 2 and sum(len(x) for b in packed for x in b.column(1).to_pylist()) == 20 * len(rows)
+    assert all(b.num_rows == len(set(b.column(0).to_pylist())) for b in packed)
+    back = set()
+    for b in packed:
+        for cell, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            back |= {(int(k), cell, int(n), int(w)) for k, n, w in np.frombuffer(data, L._ROW)}
+    assert back == {((k & (2**64 - 1)) >> 32, k & 4095, n, w & (2**64 - 1)) for k, n, w in rows}
+
+    distance = lambda a, b: ((rows[a][2] ^ rows[b][2]) & (2**64 - 1)).bit_count()
+    for most in (4_000_000, 3):
+        monkeypatch.setattr(L, "CELL_ROWS", most)
+        got = L.sketch_links(spark.createDataFrame(rows + rows[::2], "key bigint, node bigint, sketch bigint")).collect()
+        parent = list(range(len(rows)))
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in got:
+            assert r.a != r.b and rows[r.a][0] == rows[r.b][0]
+            parent[find(r.a)] = find(r.b)
+        assert all(find(a) == find(b) for a in range(len(rows)) for b in range(max(0, a - 30), a) if rows[a][0] == rows[b][0] and distance(a, b) <= L.SKETCH_DISTANCE)
+        beyond = {r.key for r in got if distance(r.a, r.b) > L.SKETCH_CLOSE}
+        marked = {r.key for r in got if r.far}
+        assert beyond <= marked and beyond
+        if most > len(rows):
+            assert marked == beyond and len(marked) < len({r.key for r in got})
+
+
 def test_large_components_over_many_blocks(spark, monkeypatch):
     """Blocks with pivots, then what is left apart against all: as brute force has it."""
     monkeypatch.setattr(L, "BLOCK_LEAST", 2_000)
