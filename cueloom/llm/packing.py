@@ -6,8 +6,9 @@ in hash order into randomised groups of ``group_chunks``; each group is packed o
 own, so memory is bounded by the group whatever the longest document or the corpus.
 In a group, full chunks are sequences; the others go, longest first, into the first
 sequence with room, which a tournament tree of remaining capacities finds in
-logarithmic time. Only the emptiest sequence of a group is touched again: it is cut into
-lengths that are powers of two, which need no padding; the others are padded.
+logarithmic time. Only the emptiest sequences of a group are touched again: they are cut up
+to fill the room left in the others, and what remains is cut into lengths that are powers
+of two. So where ``seq_len`` is a power of two, as it is by default, nothing is padded.
 
 Null texts are empty: a document of the closing id alone. Rows that repeat a ``doc_id``
 are documents of their own. An empty table gives no pieces. Texts of any length are
@@ -100,29 +101,32 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return [bins[b] for b in sorted(bins)]
 
 
+def _taken(queue: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """The last pieces of the queue that make ``size`` ids; of the last of them the rest stays."""
+    out = []
+    while size:
+        item, start, n = queue.pop()
+        cut = min(n, size)
+        out.append((item, start, cut))
+        size -= cut
+        if cut < n:
+            queue.append((item, start + cut, n - cut))
+    return out
+
+
 def plan_group(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of (item, start in it, length)."""
+    """Sequences as lists of (item, start in it, length): full ones, and lengths that are powers of two."""
     out = [[(k, 0, n)] for k, n in enumerate(lengths) if n == capacity]
     rest = [k for k, n in enumerate(lengths) if n < capacity]
     bins = [[(rest[j], 0, lengths[rest[j]]) for j in b] for b in first_fit_decreasing([lengths[k] for k in rest], capacity)]
-    if not bins:
-        return out
-    fills = [sum(x[2] for x in b) for b in bins]
-    last = min(range(len(bins)), key=lambda k: (fills[k], -k))
-    queue, left = bins.pop(last)[::-1], fills[last]
-    out += bins
+    bins.sort(key=lambda b: -sum(x[2] for x in b))
+    full, left = divmod(sum(lengths[k] for k in rest), capacity)
+    queue = [x for b in bins[full:] for x in b]
+    out += [b + _taken(queue, capacity - sum(x[2] for x in b)) for b in bins[:full]]
     while left:
         size = 1 << left.bit_length() - 1
         left -= size
-        seq: list[tuple[int, int, int]] = []
-        while size:
-            item, start, n = queue.pop()
-            cut = min(n, size)
-            seq.append((item, start, cut))
-            size -= cut
-            if cut < n:
-                queue.append((item, start + cut, n - cut))
-        out.append(seq)
+        out.append(_taken(queue, size))
     return out
 
 

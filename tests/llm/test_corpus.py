@@ -1,7 +1,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -345,3 +345,18 @@ def test_only_the_emptiest_sequence_is_cut():
     padding = sum(2048 - f for f in fills if f & (f - 1))
     assert sum(fills) == sum(lengths) and max(fills) <= 2048
     assert pieces <= len(lengths) + len(plan) and padding < 0.005 * sum(lengths)
+
+
+def test_sequences_of_first_fit_are_filled():
+    rng = random.Random(5)
+    for lengths in ([1365] * 40, [2047, 1500, 700, 3], [2048, 2048], [], [min(2048, 1 + int(rng.expovariate(1 / 400))) for _ in range(1000)]):
+        plan = PK.plan_group(lengths, 2048)
+        fills = [sum(n for _, _, n in seq) for seq in plan]
+        assert sorted(fills, reverse=True) == [2048] * (sum(lengths) // 2048) + [1 << b for b in range(10, -1, -1) if sum(lengths) >> b & 1]
+        # the fullest sequences of first fit stay whole; each sequence cuts one item at most
+        rest = [n for n in lengths if n < 2048]
+        bins = sorted((sorted(rest[k] for k in b) for b in PK.first_fit_decreasing(rest, 2048)), key=sum, reverse=True) if rest else []
+        own = [{(k, n) for k, a, n in seq if n == lengths[k]} for seq in plan if len(seq) > 1 or seq[0][2] < 2048]
+        for b in bins[: sum(rest) // 2048]:
+            assert any(not Counter(b) - Counter(n for _, n in seq) for seq in own)
+        assert sum(len(seq) for seq in plan) <= len(lengths) + len(plan)
