@@ -3,11 +3,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cueloom.llm import linking as L
 from cueloom.llm.common import cut
 from cueloom.llm.components import connected_components
-from cueloom.llm.line_dedup import drop_duplicate_lines, line_components, normalised_lines
+from cueloom.llm.line_dedup import drop_duplicate_lines, line_components, lines_of, normalised_lines
 from cueloom.llm.near_duplicates import CHUNK, MAX_DISTANCE, SYMBOLS, keep_representatives, near_duplicates
 from tests.llm import fixtures as X
 
@@ -375,3 +376,79 @@ def test_shingles_are_one_for_each_run_of_code_points():
             assert len(both) == len(char_runs(x) & char_runs(y))
     raw = [x.encode() for x in lines]
     assert (L.byte_signatures(raw, 16) == L.signatures([L.byte_shingles(x) for x in raw], 16)).all()
+
+
+def test_lines_of_many_texts():
+    given = [b"One  two\n\n three\t", None, b"", b"plain\nlines", b"\r\n x\x0b\x0cy \n\n", b" \n ", "É  ß\nß".encode(), b"end "]
+    of, number, lines = lines_of(given)
+    assert list(zip(of.tolist(), number.tolist(), lines, strict=True)) == [
+        (0, 0, b"one two"),
+        (0, 2, b"three"),
+        (3, 0, b"plain"),
+        (3, 1, b"lines"),
+        (4, 1, b"x y"),
+        (6, 0, "É ß".encode()),
+        (6, 1, "ß".encode()),
+        (7, 0, b"end"),
+    ]
+    assert [normalised_lines(t) for t in given] == [[(n, x) for k, n, x in zip(of.tolist(), number.tolist(), lines, strict=True) if k == i] for i in range(len(given))]
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcé漢 \0😀", k=rng.randint(0, 60))).encode() for _ in range(500)] + [b"", b"x", b"abc\xff\xe2\x82 broken \x80 utf", b"y" * 300_000, "é".encode() * 100_000]
+    for a, b in zip(L.byte_shingle_sets(texts), map(L.byte_shingles, texts), strict=True):
+        assert a.tolist() == b.tolist()
+    full = [t for t in texts if t]
+    assert (L.byte_signatures(full, 16) == L.signatures([L.byte_shingles(t) for t in full], 16)).all()
+
+
+def test_small_buckets_are_connected_together(monkeypatch):
+    """Buckets of up to 128 rows are not fed to leaders row by row; close pairs connect what they can, and only then far ones."""
+    monkeypatch.setattr(L._Leaders, "feed", None)
+    rng = np.random.default_rng(3)
+    key, sketch = [], []
+    for k, m in enumerate([1, 2, 3, 5, 9, 40, 128] * 12):
+        base = rng.integers(0, 2**63, 3, dtype=np.uint64)[rng.integers(0, 3, m)]
+        for _ in range(k % 14):  # up to 26 bits between two of a family
+            base ^= np.uint64(1) << rng.integers(0, 64, m).astype(np.uint64)
+        key += [k] * m
+        sketch += base.tolist()
+    key, sketch = np.array(key, dtype=np.uint64), np.array(sketch, dtype=np.uint64)
+    at = rng.permutation(len(key))
+    got = L._bucket_pairs(key[at], at.astype(np.int64), sketch[at]).to_pydict()
+    pairs = defaultdict(list)
+    for k, a, b, far in zip(got["key"], got["a"], got["b"], got["far"], strict=True):
+        assert key[a] == key[b] == k
+        pairs[k].append((a, b, far))
+    for k in range(int(key.max()) + 1):
+        own = np.flatnonzero(key == k)
+        d = np.bitwise_count(sketch[own][:, None] ^ sketch[own])
+        assert len(pairs[k]) < len(own) and all(np.bitwise_count(sketch[a] ^ sketch[b]) <= L.SKETCH_DISTANCE for a, b, _ in pairs[k])
+
+        def parts(links):
+            label = {int(x): int(x) for x in own}
+            for a, b in links:
+                a, b = label[int(a)], label[int(b)]
+                label = {x: min(a, b) if y in (a, b) else y for x, y in label.items()}
+            return label
+
+        assert parts([x[:2] for x in pairs[k]]) == parts(own[np.argwhere(d <= L.SKETCH_DISTANCE)])
+        if not any(far for *_, far in pairs[k]):  # then close pairs alone connect it
+            assert parts([x[:2] for x in pairs[k]]) == parts(own[np.argwhere(d <= L.SKETCH_CLOSE)])
+
+
+def test_lines_of_many_and_of_few_documents(spark):
+    """A line of all documents, lines of two, near copies and lines of their own, over more occurrences than are joined apart."""
+    rng = random.Random(13)
+    given = []
+    for k in range(700):
+        pair, near = random.Random(k // 2), X.prose(random.Random(10_000 + k // 7), 25)
+        given.append((k, "\n".join(["a line that all of the documents have in common", X.prose(pair, 12), near + rng.choice(["", " x", " yz"]), X.prose(rng, 12), X.prose(rng, 3)])))
+    docs = X.documents(spark, given)
+    want = expected_lines(given)
+    got = line_components(docs).collect()
+    assert len(got) == len(want) == 3500
+    assert {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in got} == want
+    named = line_components(docs.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 4, "0"))).collect()
+    assert {(int(r.doc_id), r.line_no): (int(r.first_doc_id), r.first_line_no) for r in named} == want
