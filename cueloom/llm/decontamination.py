@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_batches, slices
 
 #: Words are runs of ASCII letters and digits and of any byte above 0x7F.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -104,7 +104,7 @@ def _scan_documents(docs: DataFrame, items: list[tuple[object, bytes]], size: in
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["spans"], pa.list_(span)), ids], names=["doc_id", "n_words", "spans", "item_ids"])
 
     schema = f"doc_id {id_kind}, n_words long, spans array<struct<first_word:long,n_words:long,byte_from:long,byte_to:long>>, item_ids array<{item_kind}>"
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_batches, run, schema)
 
 
 def _merge_ranges(spans):
@@ -157,7 +157,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, m
         return run
 
     for k in range(shards):
-        docs = docs.mapInArrow(without(of(k)), docs.schema)
+        docs = docs.transform(in_batches, without(of(k)), docs.schema)
     return docs
 
 

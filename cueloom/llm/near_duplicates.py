@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, unused
+from .common import cut, in_batches, slices, unused
 from .linking import LinkSpec, WordHashes, buckets, chunk_masks, connected_components, keys_of, link_components, may_be_member, membership_bitmap, signatures, word_shingles
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 80, 5, 30
@@ -81,24 +81,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_hash long, n long, set_hash binary, sig binary"
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sets = hashed.mapInArrow(_sets(shingle_words), schema)
+    sets = hashed.transform(in_batches, _sets(shingle_words), schema)
     if before is not None:
         old = before.select(F.col("doc_id").cast(kind), F.xxhash64("text").alias("text_hash"), "text")
         # rows of sets, not texts, are shuffled to find the ids that are still there
-        sets = sets.unionByName(old.mapInArrow(_sets(shingle_words), schema).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id", "set_hash"])
+        sets = sets.unionByName(old.transform(in_batches, _sets(shingle_words), schema).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id", "set_hash"])
         hashed = hashed.unionByName(old)
     sets = cut(sets)
     full = sets.where("set_hash IS NOT NULL")
     # one row a set: the smallest id (null first), and any of its texts; the struct tells it from a missing one
     nodes = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash", "n", "sig")).alias("first")).select("set_hash", "first.*")
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    members = nodes.select("node", "sig").mapInArrow(_index, "key long, node long")
+    members = nodes.select("node", "sig").transform(in_batches, _index, "key long, node long")
     spec = LinkSpec(partial(word_shingles, size=shingle_words), SYMBOLS, MAX_DISTANCE, percent)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         of = nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "text_hash")
         bitmap = docs.sparkSession.sparkContext.broadcast(membership_bitmap(of.select("text_hash")))  # 8 MB
-        packed = hashed.where("text IS NOT NULL").mapInArrow(_zipped(bitmap), f"doc_id {kind}, text_hash long, z binary")
+        packed = hashed.where("text IS NOT NULL").transform(in_batches, _zipped(bitmap), f"doc_id {kind}, text_hash long, z binary")
         of = of.withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"})
         met = packed.join(of, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
         return met.select("node", "z").dropDuplicates(["node"])

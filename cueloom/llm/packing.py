@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices
+from .common import in_batches, slices
 
 END_ID = 1
 _LONG_BLANKS = re.compile(r"\s{100000}")
@@ -204,8 +204,8 @@ def pack_documents(
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     paths = json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    chunks = docs.select("doc_id", "text").mapInArrow(_chunks(*paths, seq_len, None), f"doc_id {kind}, start long, doc_tokens long, ids binary")
+    chunks = docs.select("doc_id", "text").transform(in_batches, _chunks(*paths, seq_len, None), f"doc_id {kind}, start long, doc_tokens long, ids binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # hashed by chunk, so that neither a long document nor a repeated id meets in one task
     dealt = chunks.withColumn("key", F.xxhash64("doc_id", "start", "ids")).repartition(n, "key").sortWithinPartitions("key", "doc_id", "start").drop("key")
-    return dealt.mapInArrow(_pack(seq_len, group_chunks), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.transform(in_batches, _pack(seq_len, group_chunks), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, slices
+from .common import cut, in_batches, mix64, slices
 from .linking import may_be_member, membership_bitmap
 
 _SYMBOLS = b"#*$%&|<>"
@@ -115,7 +115,7 @@ def _gram_counts(docs: DataFrame, p: RuleParams, bitmap: Broadcast | None = None
         at = np.flatnonzero(both.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[:, at].sum(axis=0)), pa.array(both[1, at])], names=["bucket", "n_raw", "n_maybe"])
 
-    return docs.select("id_hash", "text").mapInArrow(count, "bucket long, n_raw long, n_maybe long")
+    return docs.select("id_hash", "text").transform(in_batches, count, "bucket long, n_raw long, n_maybe long")
 
 
 def _maybe(rows: DataFrame, bitmap: Broadcast) -> DataFrame:
@@ -126,7 +126,7 @@ def _maybe(rows: DataFrame, bitmap: Broadcast) -> DataFrame:
             if b.num_rows:
                 yield b.filter(pa.array(may_be_member(bitmap.value, b.column(0).to_numpy())))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.transform(in_batches, run, rows.schema)
 
 
 def gram_counts(docs: DataFrame, good: DataFrame, p: RuleParams) -> DataFrame:
@@ -184,7 +184,7 @@ def score_rules(docs: DataFrame, weights: np.ndarray, p: RuleParams, doc_id: str
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, base_failed boolean, kept boolean"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(in_batches, score, schema)
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> np.ndarray:
@@ -206,4 +206,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams(
         for rows, texts in slices(batches, column):
             yield rows.filter(pa.array(_judge(texts, shared.value, p)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)
